@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,7 +42,8 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_logweave_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="logweave-ship-")
+    # the file stays: executors that join later fetch it from the driver then
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="logweave-ship-"))
     target = os.path.join(folder, "logweave_code.zip")
     with zipfile.ZipFile(target, "w") as z:
         for root, _, files in os.walk(package):
@@ -52,7 +52,6 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
     sc.addPyFile(target)
-    shutil.rmtree(folder, ignore_errors=True)
     sc._logweave_shipped = True
 
 
