@@ -15,7 +15,6 @@ SPACE = bytes([0x20, 9, 10, 11, 12, 13])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK_BYTES = 4_000_000
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict = {}
 
@@ -108,7 +107,7 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     h = w.hashes
     rolled = np.zeros(len(h), np.uint64)
     for i in range(k):
-        part = mixed(h[i:] + np.uint64(i + 1) * _BASE)
+        part = mixed(h[i:] + np.uint64((i + 1) * int(_BASE) & 0xFFFFFFFFFFFFFFFF))
         rolled[: len(part)] ^= part if i == 0 else np.left_shift(part, np.uint64(i)) | np.right_shift(part, np.uint64(64 - i))
     rolled = mixed(rolled)
     for d in range(len(texts)):
