@@ -339,7 +339,7 @@ def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: f
 
 
 def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
-    """Pipeline stage: of each group the document with the least doc_id stays, unchanged; of repeated rows one stays."""
+    """Pipeline stage: of each group the document with the least doc_id stays, unchanged; rows that repeat a doc_id share its fate."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     groups = near_copies(docs, **params)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
