@@ -29,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, saved, ship_package, table
@@ -170,27 +170,66 @@ def light_links(sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(enough).select(F.col("m.rep").alias("a"), F.col("rep").alias("b"))
 
 
+LISTED = "token long, rep long, n long, head long, before long, place long"
+
+
 def shared_tokens(entries: DataFrame) -> DataFrame:
-    """List entries (token, rep) of lists with two entries or more; a stream over sorted lists, nothing is gathered."""
+    """Entries of lists with two or more: token, rep, n, first rep of the list, the one before, place in the list.
+
+    A stream over sorted lists; nothing is gathered, however long a list is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.RecordBatch | None = None
-        before = None  # token of the last row that was decided
+        carry: pa.Table | None = None
+        last: tuple | None = None  # token, rep, head, place of the last row that was decided
+        names = [c.split()[0] for c in LISTED.split(", ")]
+
+        def decided(t: pa.Table, upto: int) -> pa.RecordBatch:
+            nonlocal last
+            token, rep, n = (t.column(c).to_numpy() for c in ("token", "rep", "n"))
+            new = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
+            head = np.where(start >= 0, rep[start], last[2] if last else 0)
+            place = np.where(start >= 0, np.arange(len(token)) - start, np.arange(len(token)) + (last[3] + 1 if last else 0))
+            before = np.concatenate([[last[1] if last else 0], rep[:-1]])
+            followed = np.concatenate([token[1:] == token[:-1], [False]])
+            keep = (place > 0) | followed
+            keep[upto:] = False
+            if upto:
+                last = (token[upto - 1], rep[upto - 1], head[upto - 1], place[upto - 1])
+            cols = [token, rep, n, head, np.where(place > 0, before, rep), place]
+            return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(np.int64)) for c in cols], names=names)
+
         for batch in batches:
-            if carry is not None:
-                batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
-            t = batch.column("token").to_numpy()
-            if len(t) < 2:
-                carry = batch
+            t = pa.Table.from_batches([batch])
+            t = t if carry is None else pa.concat_tables([carry, t]).combine_chunks()
+            if len(t) > 1:
+                yield decided(t, len(t) - 1)  # whether the last row has a follower is not known yet
+                carry = t.slice(len(t) - 1)
+            else:
+                carry = t
+        if carry is not None and len(carry):
+            yield decided(carry, len(carry))
+
+    return entries.repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(run, LISTED)
+
+
+def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) those that sizes and count sketches allow to be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
                 continue
-            same_next = t[:-1] == t[1:]
-            same_last = np.concatenate([[before is not None and t[0] == before], same_next[:-1]])
-            yield batch.slice(0, len(t) - 1).filter(pa.array(same_next | same_last))
-            before, carry = t[-2], batch.slice(len(t) - 1)
-        if carry is not None and len(carry) and before is not None and carry.column("token")[0].as_py() == before:
-            yield carry
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(len(batch), BUCKETS).astype(np.int32) for c in ("p", "q"))
+            m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
+            keep = np.abs(p - q).sum(axis=1) <= m + n - 2 * needed_overlap(m, n, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return entries.repartition("token").sortWithinPartitions("token").mapInArrow(run, entries.schema)
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("p"))
+    right = sets.select(F.col("rep").alias("b"), "n", F.col("sketch").alias("q"))
+    sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
+    return sized.select("a", "b", "m", "n", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def _pairs(rep, n, root, sketch, cross: int | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,18 +274,21 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 def linear_candidates(lists: DataFrame) -> DataFrame:
     """Of every list: each entry with the first entry and with its predecessor (in order of size)."""
-    order = Window.partitionBy("token").orderBy("n", "rep")
-    near = lists.withColumn("before", F.lag("rep").over(order))
-    head = lists.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("h")).select("token", F.col("h.rep").alias("head"))
-    both = near.join(head, "token").select("rep", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
-    return both.filter("other is not null and other <> rep").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    both = lists.filter("place > 0").select("rep", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
+    return both.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def long_lists(lists: DataFrame) -> DataFrame:
+    """Entries (token, rep, n) of lists of four or more; shorter lists have no pairs but the linear ones."""
+    long = lists.filter("place = 3").select("token")
+    return lists.select("token", "rep", "n").join(long, "token", "left_semi")
 
 
-def open_candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots in one list that size and sketch allow.  ``lists``: token, rep, n, root, sketch."""
+def open_candidates(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots in one list that size and sketch allow.  ``lists``: token, rep, n, root; ``sets``: rep, sketch."""
     lists = saved(lists, "join-lists")
     spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    wide = lists.join(spread.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "token")
+    wide = lists.join(spread.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "token").join(sets.select("rep", "sketch"), "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = wide.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "n", "root", "sketch")
@@ -327,11 +369,10 @@ def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: f
     light = saved(light_links(sets, percent), "join-light")
     entries = sets.select(F.explode("prefix").alias("token"), "rep", "n")
     lists = saved(shared_tokens(entries), "join-shared")
-    first = verified(linear_candidates(lists), docs, words, percent, "join-linear")
+    first = verified(near_sketches(linear_candidates(lists), sets, percent), docs, words, percent, "join-linear")
     roots = components(light.unionByName(first), "join-first")
-    rooted = lists.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    full = rooted.join(sets.select("rep", "sketch"), "rep").select("token", "rep", "n", "root", "sketch")
-    second = verified(open_candidates(full, percent), docs, words, percent, "join-open")
+    rooted = long_lists(lists).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    second = verified(open_candidates(rooted, sets, percent), docs, words, percent, "join-open")
     groups = components(light.unionByName(first).unionByName(second), "join-all")
     leader = reps.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = each.join(leader, "digest", "left")
