@@ -10,7 +10,7 @@ Texts with equal shingle sets are one set from the start.  Two sets of sizes a a
   scanned twice.  First every set meets only the first set of its list and its predecessor, and these linear
   candidates are verified and merged.  Then sets of still different groups meet; long lists are dealt out in
   blocks to many tasks, and a count sketch (a lower bound of the symmetric difference, so nothing is lost)
-  drops nearly all pairs before the exact check on whole shingle sets.
+  drop nearly all pairs before the exact check on whole shingle sets.
 
 The boundary between light and heavy is where the number of subset keys passes the weighted number of list entries,
 from the histogram of set sizes.
@@ -37,7 +37,9 @@ from .textops import chunks, mixed, shingle_sets
 
 COUNTERS = 1 << 18
 CHUNKS = 16
+#: buckets of the two count sketches of a set: 16-bit counts for a first look, 8-bit counts for a closer one
 BUCKETS = 32
+WIDE = 256
 MAX_LIGHT = 40
 BLOCK = 1024
 
@@ -139,7 +141,7 @@ def signatures(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = shared.value
-        names = ["doc_id", "n", "digest", "sketch", "prefix", "subsets"]
+        names = ["doc_id", "n", "digest", "sketch", "wide", "prefix", "subsets"]
         for batch in batches:
             for ids, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 rows = []
@@ -152,12 +154,13 @@ def signatures(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bo
                         prefix = s[order[: prefix_length(len(s), percent)]].view(np.int64).tolist()
                     subsets = [{"c": c, "key": k - (1 << 64) if k >= 1 << 63 else k} for c, k in keys_of(s)] if len(s) <= boundary else []
                     sketch = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 65535).astype("<u2").tobytes()
-                    rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, prefix, subsets))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("c", pa.int32()), ("key", pa.int64())]))]
+                    wide = np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % WIDE, minlength=WIDE), 255).astype("<u1").tobytes()
+                    rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, wide, prefix, subsets))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("c", pa.int32()), ("key", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, prefix array<long>, subsets array<struct<c: int, key: long>>")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, wide binary, prefix array<long>, subsets array<struct<c: int, key: long>>")
 
 
 def light_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +173,11 @@ def light_links(sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(enough).select(F.col("m.rep").alias("a"), F.col("rep").alias("b"))
 
 
-LISTED = "token long, rep long, n long, head long, before long, place long"
+LISTED = "token long, rep long, head long, before long, place long"
 
 
 def shared_tokens(entries: DataFrame) -> DataFrame:
-    """Entries of lists with two or more: token, rep, n, first rep of the list, the one before, place in the list.
+    """Entries of lists with two or more: token, rep, first rep of the list, the one before, place in the list.
 
     A stream over sorted lists; nothing is gathered, however long a list is.
     """
@@ -186,7 +189,7 @@ def shared_tokens(entries: DataFrame) -> DataFrame:
 
         def decided(t: pa.Table, upto: int) -> pa.RecordBatch:
             nonlocal last
-            token, rep, n = (t.column(c).to_numpy() for c in ("token", "rep", "n"))
+            token, rep = (t.column(c).to_numpy() for c in ("token", "rep"))
             new = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
             start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
             head = np.where(start >= 0, rep[start], last[2] if last else 0)
@@ -197,7 +200,7 @@ def shared_tokens(entries: DataFrame) -> DataFrame:
             keep[upto:] = False
             if upto:
                 last = (token[upto - 1], rep[upto - 1], head[upto - 1], place[upto - 1])
-            cols = [token, rep, n, head, np.where(place > 0, before, rep), place]
+            cols = [token, rep, head, np.where(place > 0, before, rep), place]
             return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(np.int64)) for c in cols], names=names)
 
         for batch in batches:
@@ -211,17 +214,22 @@ def shared_tokens(entries: DataFrame) -> DataFrame:
         if carry is not None and len(carry):
             yield decided(carry, len(carry))
 
-    return entries.repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(run, LISTED)
+    return entries.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(run, LISTED)
 
 
 def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those that sizes and count sketches allow to be linked."""
+    """Of distinct pairs (a, b) those that sizes and both count sketches allow to be linked."""
+    for name, kind, buckets in (("sketch", "<u2", BUCKETS), ("wide", "<u1", WIDE)):
+        pairs = _within(pairs, sets.select("rep", "n", F.col(name).alias("sketch")), percent, kind, buckets)
+    return pairs
 
+
+def _within(pairs: DataFrame, sets: DataFrame, percent: int, kind: str, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(len(batch), BUCKETS).astype(np.int32) for c in ("p", "q"))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(len(batch), buckets).astype(np.int32) for c in ("p", "q"))
             m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
             keep = np.abs(p - q).sum(axis=1) <= m + n - 2 * needed_overlap(m, n, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -273,22 +281,22 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 
 def linear_candidates(lists: DataFrame) -> DataFrame:
-    """Of every list: each entry with the first entry and with its predecessor (in order of size)."""
+    """Of every list: each entry with the first entry and with its predecessor."""
     both = lists.filter("place > 0").select("rep", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
     return both.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def long_lists(lists: DataFrame) -> DataFrame:
-    """Entries (token, rep, n) of lists of four or more; shorter lists have no pairs but the linear ones."""
+    """Entries (token, rep) of lists of four or more; shorter lists have no pairs but the linear ones."""
     long = lists.filter("place = 3").select("token")
-    return lists.select("token", "rep", "n").join(long, "token", "left_semi")
+    return lists.select("token", "rep").join(long, "token", "left_semi")
 
 
 def open_candidates(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots in one list that size and sketch allow.  ``lists``: token, rep, n, root; ``sets``: rep, sketch."""
+    """Pairs (a, b) of different roots in one list that size and sketch allow.  ``lists``: token, rep, root; ``sets``: rep, n, wide."""
     lists = saved(lists, "join-lists")
     spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    wide = lists.join(spread.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "token").join(sets.select("rep", "sketch"), "rep")
+    wide = lists.join(spread.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "token").join(sets.select("rep", "n", F.col("wide").alias("sketch")), "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = wide.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "n", "root", "sketch")
@@ -298,7 +306,7 @@ def open_candidates(lists: DataFrame, sets: DataFrame, percent: int) -> DataFram
             if len(t) < 2:
                 continue
             rep, n, root, own = (t.column(c).to_numpy() for c in ("rep", "n", "root", "own"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(len(t), BUCKETS).astype(np.int32)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u1").reshape(len(t), WIDE).astype(np.int16)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
             a, b = _pairs(rep, n, root, sketch, int((own == i).sum()) if i != j else None, percent)
             if len(a):
@@ -362,12 +370,12 @@ def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: f
     histogram = {r["n"]: r["count"] for r in each.filter(F.col("n").between(1, MAX_LIGHT)).groupBy("n").count().collect()}
     boundary = choose_boundary(histogram, percent, list_cost)
     reps = saved(each.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "join-reps")
-    signed = saved(signatures(docs, words, percent, counts, boundary), "join-signatures")
+    signed = signatures(docs, words, percent, counts, boundary)
     # of rows with equal sets one stays (any: their signatures are equal)
-    sets = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"))
+    sets = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"))
     sets = saved(sets.drop("digest"), "join-sets")
     light = saved(light_links(sets, percent), "join-light")
-    entries = sets.select(F.explode("prefix").alias("token"), "rep", "n")
+    entries = sets.select(F.explode("prefix").alias("token"), "rep")
     lists = saved(shared_tokens(entries), "join-shared")
     first = verified(near_sketches(linear_candidates(lists), sets, percent), docs, words, percent, "join-linear")
     roots = components(light.unionByName(first), "join-first")
