@@ -67,7 +67,7 @@ def curated_verdicts(p: DataFrame, rules: list[tuple[str, str, str]]) -> Column:
     return F.array_max(fits)
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = 10) -> DataFrame:
     """(rule_id, tokens, confidence, support) of rules ``tokens -> block`` from ``labelled(tokens, bad boolean)``.
 
     Rows with equal tokens and label count as often as they occur.  Of nested rules the shorter one stays
@@ -77,9 +77,12 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -
     baskets = saved(labelled.filter(F.size("tokens") > 0).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")), "url-baskets")
     spark = labelled.sparkSession
     empty = spark.range(0).selectExpr("cast(id as string) rule_id", "array('') tokens", "0D confidence", "0D support")
-    if not baskets.take(1):
+    n = baskets.count()
+    if not n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    # on few rows a share of them is next to none: a rule stands on ``min_rows`` rows at least
+    support = min(1.0, max(min_support, min_rows / n))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.element_at("consequent", 1) == BLOCK)
     return rules.select(F.concat_ws(" ", F.sort_array("antecedent")).alias("rule_id"), F.sort_array("antecedent").alias("tokens"), "confidence", "support")
 
