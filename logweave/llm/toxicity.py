@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship_package, table
+from .common import saved, ship_package, table
 from .language_id import held_out
 
 WORD = re.compile(r"\w+")
@@ -38,9 +39,26 @@ def subwords(word: str, buckets: int) -> list[int]:
     return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in data})
 
 
+class _Memo(dict):
+    """A bounded cache of a function of strings."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key: str):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        out = self[key] = self.of(key)
+        return out
+
+
+_pieces = _Memo(lambda chunk: tuple(WORD.findall(chunk.lower())))
+
+
 def distinct_words(text: str) -> list[str]:
     """Lower-cased words in the order in which they first occur."""
-    return list(dict.fromkeys(WORD.findall(text.lower())))
+    return list(dict.fromkeys(chain.from_iterable(map(_pieces.__getitem__, dict.fromkeys(text.split())))))
 
 
 class Classifier:
@@ -48,25 +66,19 @@ class Classifier:
 
     def __init__(self, value: np.ndarray, bias: float, window: int, common: dict[str, float] | None = None):
         self.value, self.bias, self.window, self.common = value, bias, window, common or {}
-        self._cache: dict[str, float] = {}
+        self._known = _Memo(self.word)
 
-    def __getstate__(self):
-        return {**self.__dict__, "_cache": {}}
+    def __reduce__(self):
+        return Classifier, (self.value, self.bias, self.window, self.common)
 
     def word(self, w: str) -> float:
-        x = self._cache.get(w)
-        if x is None:
-            if len(self._cache) > CACHE_WORDS:
-                self._cache.clear()
-            x = self._cache[w] = float(self.value[subwords(w, len(self.value))].mean()) * self.common.get(w, 1.0)
-        return x
+        return float(self.value[subwords(w, len(self.value))].mean()) * self.common.get(w, 1.0)
 
     def log_odds(self, text: str) -> float:
         words = distinct_words(text)
         if not words:
             return self.bias
-        known = self._cache.get
-        x = np.array([known(w) if w in self._cache else self.word(w) for w in words])
+        x = np.fromiter(map(self._known.__getitem__, words), np.float64, len(words))
         run = np.concatenate([[0.0], np.cumsum(x)])
         if len(x) <= self.window:
             return self.bias + run[-1] / (len(x) + SMOOTH)
@@ -186,20 +198,20 @@ def train_calibrated(texts: list[str], labels: list[int], weights: list[float],
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 60_000_000, **params) -> Classifier:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    Of each class about ``max_rows`` rows train, those with the least hash of the id; the same share of every
-    class's rows is used if their texts would pass ``max_chars`` characters.  Whole texts train.
+    Of each class about ``max_rows`` labels train, those with the least hash of the id; fewer, in the same proportion,
+    if their texts would pass ``max_chars`` characters.  Whole texts train.  Labels without a document do not train.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").join(marked, "doc_id")
-    size = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).collect()
-    share = {r["toxic"]: min(1.0, max_rows / r["n"]) for r in size}
-    expected = sum(share[r["toxic"]] * r["chars"] for r in size)
-    shrink = min(1.0, max_chars / expected) if expected else 1.0
+    share = {r["toxic"]: min(1.0, max_rows / r["count"]) for r in marked.groupBy("toxic").count().collect()}
     if not share:
         return train([], [])
-    limit = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (int(k), v * shrink)]), F.col("toxic"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (int(k), v)]), F.col("toxic"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_000)) / 1_000_000.0
-    rows = known.filter(unit < limit).select("doc_id", "text", "toxic").collect()
+    # about 2 * max_rows ids, so they are broadcast and the texts stay where they are
+    ids = saved(marked.filter(unit < limit).withColumn("_u", unit / limit), "toxicity-sample")
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    expected = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    rows = known.filter(F.col("_u") < min(1.0, max_chars / max(1, expected))).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return train_calibrated([r["text"] for r in rows], [int(r["toxic"]) for r in rows], [1 / share[r["toxic"]] for r in rows], **params)
 
@@ -223,6 +235,6 @@ def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(F.col("doc_id"), 3, 1)
-    model = fit(docs.filter(~out), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = fit(docs.filter(~out), table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~out))
     scored = score_texts(docs, model)
     return scored.select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
