@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from .common import saved, ship_package, table
 from .language_id import held_out
+from .textops import mixed
 
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 300_000
@@ -33,10 +34,33 @@ CACHE_WORDS = 300_000
 SMOOTH = 10
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    w = f"<{word[:60]}>"
-    data = {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
-    return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in data})
+def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of the character n-grams of each word and of the word itself, ordered by word.
+
+    Words are taken with boundary marks; of words beyond 60 characters the first 60 count.
+    """
+    marked = [f"<{w[:60]}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(end, size) - np.arange(len(code))  # characters up to the word's end
+    found, whose = [], []
+    rolled = np.zeros(len(code), np.uint64)
+    for n in range(1, 6):
+        m = max(0, len(code) - n + 1)
+        rolled = rolled[:m] * np.uint64(0x100000001B3) + code[n - 1 :]
+        if n >= 3:
+            inside = left[:m] >= n
+            found.append(mixed(rolled[inside] + np.uint64(n << 50)))
+            whose.append(owner[:m][inside])
+    if len(words):
+        place = (np.arange(len(code)) - np.repeat(end - size, size)).astype(np.uint64)
+        found.append(np.add.reduceat(mixed(code + (place << np.uint64(32))), end - size))
+        whose.append(np.arange(len(words)))
+    bucket, word = np.concatenate(found), np.concatenate(whose)
+    order = np.argsort(word, kind="stable")
+    return (bucket[order] % np.uint64(buckets)).astype(np.int64), word[order]
 
 
 class _Memo(dict):
@@ -66,27 +90,46 @@ class Classifier:
 
     def __init__(self, value: np.ndarray, bias: float, window: int, common: dict[str, float] | None = None):
         self.value, self.bias, self.window, self.common = value, bias, window, common or {}
-        self._known = _Memo(self.word)
+        self._known: dict[str, float] = {}
 
     def __reduce__(self):
         return Classifier, (self.value, self.bias, self.window, self.common)
 
     def word(self, w: str) -> float:
-        return float(self.value[subwords(w, len(self.value))].mean()) * self.common.get(w, 1.0)
+        self._learn([w])
+        return self._known[w]
+
+    def _learn(self, words: list[str]) -> None:
+        bucket, word = subwords(words, len(self.value))
+        mean = np.bincount(word, weights=self.value[bucket], minlength=len(words)) / np.bincount(word, minlength=len(words))
+        common = self.common.get
+        self._known.update((w, x * common(w, 1.0)) for w, x in zip(words, mean.tolist(), strict=True))
+
+    def log_odds(self, texts: list[str | None]) -> list[float]:
+        """Whole texts; 200 at a time, whose unknown words are looked up together."""
+        out = []
+        for a in range(0, len(texts), 200):
+            split = [distinct_words(t or "") for t in texts[a : a + 200]]
+            if len(self._known) > CACHE_WORDS:
+                self._known.clear()
+            new = set(chain.from_iterable(split)).difference(self._known)
+            if new:
+                self._learn(sorted(new))
+            known = self._known.__getitem__
+            out += [self._odds(np.fromiter(map(known, words), np.float64, len(words))) for words in split]
+        return out
 
-    def log_odds(self, text: str) -> float:
-        words = distinct_words(text)
-        if not words:
+    def _odds(self, x: np.ndarray) -> float:
+        if not len(x):
             return self.bias
-        x = np.fromiter(map(self._known.__getitem__, words), np.float64, len(words))
         run = np.concatenate([[0.0], np.cumsum(x)])
         if len(x) <= self.window:
             return self.bias + run[-1] / (len(x) + SMOOTH)
-        at = np.unique(np.concatenate([np.arange(0, len(x) - self.window, max(1, self.window // 2)), [len(x) - self.window]]))
+        at = np.append(np.arange(0, len(x) - self.window, max(1, self.window // 2)), len(x) - self.window)
         return self.bias + max(run[-1] / (len(x) + SMOOTH), float((run[at + self.window] - run[at]).max()) / (self.window + SMOOTH))
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.log_odds(text or ""), -60, 60))))
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.array(self.log_odds(texts), float), -60, 60)))
 
 
 def _scatter(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -104,9 +147,8 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
         return Classifier(np.zeros(buckets, np.float32), -60.0 if not any(labels) else 60.0, window)
     vocab: dict[str, int] = {}
     docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in distinct_words(t or "")), np.int64) for t in texts]
-    parts = [subwords(w, buckets) for w in vocab]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((x for p in parts for x in p), np.int64, int(size.sum()))
+    flat, word_of = subwords(list(vocab), buckets)
+    size = np.bincount(word_of, minlength=len(vocab))
     first = np.concatenate([[0], np.cumsum(size)])
     seen = np.zeros(buckets, np.int64)
     for d in docs:
@@ -173,7 +215,7 @@ def calibrated(model: Classifier, texts: list[str], labels: list[int], weights:
     y, w = np.array(labels, float), np.array(weights, float)
     if len(set(labels)) < 2:
         return model
-    x = np.array([np.clip(model.log_odds(t or ""), -30, 30) for t in texts])
+    x = np.clip(np.array(model.log_odds(texts)), -30, 30)
     design = np.stack([x, np.ones_like(x)], axis=1)
     beta = np.array([1.0, 0.0])
     w = w / w.sum() * len(w)
@@ -226,7 +268,7 @@ def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(t) for t in batch.column("text").to_pylist()]
+            scores = shared.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
