@@ -7,7 +7,8 @@ each document's offset inside its bucket, and a manifest the number of ids per b
 rewritten to make offsets global.
 
 Encoding splits texts at ASCII white space, where the tokenizer always splits too, and keeps the ids of each piece in
-a bounded cache; every piece is encoded by the tokenizers library itself.
+a bounded cache; every piece (or its word and its closing mark, which the tokenizer also divides) is encoded by the
+tokenizers library itself.
 
 Defined cases: a null text is empty and has only the end id; null doc_ids come first; rows with equal doc_id are
 ordered by their text, so offsets of repeated rows are repeatable; an empty table gives an empty result; extra columns are not written.
@@ -15,9 +16,11 @@ ordered by their text, so offsets of repeated rows are repeatable; an empty tabl
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,11 @@ from pyspark.sql import functions as F
 from .common import bucket_of, range_bounds, scratch_path, ship_package, table
 
 END_ID = 1
-CACHE_PIECES = 400_000
+#: pieces and plain words whose ids a worker keeps
+CACHE_PIECES = 200_000
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
+#: letters that normalization leaves alone but for their case, then at most one mark: the tokenizer divides there
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
 _encoders: dict = {}
 
 
@@ -36,27 +42,56 @@ class Encoder:
     """Ids of a text as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+    def _each(self, pieces: list[str]) -> None:
+        for a in range(0, len(pieces), 2000):
+            part = pieces[a : a + 2000]
+            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(got.ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Lower-case words of letters only: 500 are one text, cut again by the tokenizer's own word numbers."""
+        for a in range(0, len(words), 500):
+            part = words[a : a + 500]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+            cut = np.searchsorted(word, np.arange(len(part) + 1))
+            if (np.diff(cut) <= 0).any() or cut[-1] != len(ids):
+                self._each(part)
+                continue
+            self.known.update((w, ids[x:y].tobytes()) for w, x, y in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+    def learn(self, pieces: set[str]) -> None:
+        plain, other = {}, []
+        for piece in pieces:
+            m = PLAIN.match(piece)
+            if m:
+                plain[piece] = (m[1].lower(), m[2])
+            else:
+                other.append(piece)
+        self._each(sorted(other))
+        words = {w for w, _ in plain.values()}
+        self._words(sorted(words.difference(self.known)))
+        self._each([mark for mark in (".", ",") if mark not in self.known])
+        self.known[""] = b""
+        known = self.known
+        known.update([(piece, known[w] + known[mark]) for piece, (w, mark) in plain.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without the end id."""
         split = [PIECE.findall(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        new = {p for pieces in split for p in pieces} - self.known.keys()
+        new = set(chain.from_iterable(split)).difference(self.known)
         if new:
-            self.learn(sorted(new))
-        known = self.known
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+            self.learn(new)
+        known = self.known.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in split]
 
 
 def encoder(path: str) -> Encoder:
@@ -74,9 +109,9 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
     bucket, offset = None, 0
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a in range(0, len(texts), 1000):
-            part = batch.slice(a, 1000)
-            rows = [x + end for x in enc.encode(texts[a : a + 1000])]
+        for a in range(0, len(texts), 200):
+            part = batch.slice(a, 200)
+            rows = [x + end for x in enc.encode(texts[a : a + 200])]
             starts = []
             for b, x in zip(part.column("bucket").to_pylist(), rows, strict=True):
                 if b != bucket:
