@@ -7,7 +7,7 @@ each document's offset inside its bucket, and a manifest the number of ids per b
 rewritten to make offsets global.
 
 Encoding splits texts at ASCII white space, where the tokenizer always splits too, and keeps the ids of each piece in
-a bounded cache; every piece (or its word and its closing mark, which the tokenizer also divides) is encoded by the
+a bounded cache; every piece (or a word and its closing mark, which the tokenizer also divides) is encoded by the
 tokenizers library itself.
 
 Defined cases: a null text is empty and has only the end id; null doc_ids come first; rows with equal doc_id are
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import bucket_of, range_bounds, scratch_path, ship_package, table
 
 END_ID = 1
-#: pieces and plain words whose ids a worker keeps
-CACHE_PIECES = 200_000
-PIECE = re.compile(r"[^\x20\x09-\x0D]+")
-#: letters that normalization leaves alone but for their case, then at most one mark: the tokenizer divides there
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
+#: pieces whose ids a worker keeps, twice: those of the current and of the last generation
+CACHE_PIECES = 250_000
+#: a lower-case Latin-1 word, the full stop or comma that closes it (the tokenizer divides there), or any other piece
+PIECE = re.compile(r"[a-zß-öø-ÿ]+(?=[.,]?(?![^\x20\x09-\x0D]))|[.,](?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]+")
+WHOLE = re.compile(r"[^\x20\x09-\x0D]+")
 _encoders: dict = {}
 
 
@@ -46,7 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _each(self, pieces: list[str]) -> None:
         for a in range(0, len(pieces), 2000):
@@ -55,41 +59,45 @@ class Encoder:
                 self.known[piece] = np.array(got.ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> None:
-        """Lower-case words of letters only: 500 are one text, cut again by the tokenizer's own word numbers."""
-        for a in range(0, len(words), 500):
-            part = words[a : a + 500]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            cut = np.searchsorted(word, np.arange(len(part) + 1))
-            if (np.diff(cut) <= 0).any() or cut[-1] != len(ids):
-                self._each(part)
-                continue
-            self.known.update((w, ids[x:y].tobytes()) for w, x, y in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-
-    def learn(self, pieces: set[str]) -> None:
-        plain, other = {}, []
-        for piece in pieces:
-            m = PLAIN.match(piece)
-            if m:
-                plain[piece] = (m[1].lower(), m[2])
-            else:
-                other.append(piece)
-        self._each(sorted(other))
-        words = {w for w, _ in plain.values()}
-        self._words(sorted(words.difference(self.known)))
-        self._each([mark for mark in (".", ",") if mark not in self.known])
-        self.known[""] = b""
-        known = self.known
-        known.update([(piece, known[w] + known[mark]) for piece, (w, mark) in plain.items()])
+        """Words of letters only, 500 to a text, cut again at the ids that end a word."""
+        parts = [words[a : a + 500] for a in range(0, len(words), 500)]
+        for a in range(0, len(parts), 8):
+            texts = [" ".join(p) for p in parts[a : a + 8]]
+            for part, got in zip(parts[a : a + 8], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, "<u4")
+                cut = np.flatnonzero(self.closes[ids]) + 1
+                if len(cut) != len(part) or cut[-1] != len(ids):
+                    self._each(part)
+                    continue
+                data, ends = ids.tobytes(), (4 * cut).tolist()
+                self.known.update(zip(part, [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """Pieces whose ids, one after the other, are the text's.
+
+        Latin-1 texts are lower-cased first, as the tokenizer does (its other normalization leaves them alone), but
+        for those in which a special token's name may stand.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return WHOLE.findall(text)
+        return WHOLE.findall(text) if "<|" in text else PIECE.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without the end id."""
-        split = [PIECE.findall(t) for t in texts]
+        split = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         new = set(chain.from_iterable(split)).difference(self.known)
-        if new:
-            self.learn(new)
+        again = new.intersection(self.older)
+        self.known.update([(p, self.older[p]) for p in again])
+        plain, other = [], []
+        for p in new.difference(again):
+            (plain if p.isalpha() else other).append(p)
+        self._words(sorted(plain))
+        self._each(sorted(other))
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in split]
 
