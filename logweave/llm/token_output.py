@@ -17,7 +17,6 @@ ordered by their text, so offsets of repeated rows are repeatable; an empty tabl
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,10 +30,7 @@ from .common import bucket_of, range_bounds, scratch_path, ship_package, table
 
 END_ID = 1
 #: pieces whose ids a worker keeps, twice: those of the current and of the last generation
-CACHE_PIECES = 250_000
-#: a lower-case Latin-1 word, the full stop or comma that closes it (the tokenizer divides there), or any other piece
-PIECE = re.compile(r"[a-zß-öø-ÿ]+(?=[.,]?(?![^\x20\x09-\x0D]))|[.,](?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]+")
-WHOLE = re.compile(r"[^\x20\x09-\x0D]+")
+CACHE_PIECES = 300_000
 _encoders: dict = {}
 
 
@@ -49,14 +45,14 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _each(self, pieces: list[str]) -> None:
         for a in range(0, len(pieces), 2000):
             part = pieces[a : a + 2000]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, "<u4").tobytes()
+                self.known[piece.encode()] = np.array(got.ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> None:
         """Words of letters only, 500 to a text, cut again at the ids that end a word."""
@@ -70,11 +66,11 @@ class Encoder:
                     self._each(part)
                     continue
                 data, ends = ids.tobytes(), (4 * cut).tolist()
-                self.known.update(zip(part, [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+                self.known.update(zip([w.encode() for w in part], [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Pieces whose ids, one after the other, are the text's.
+    def pieces(text: str) -> list[bytes]:
+        """Pieces between ASCII white space whose ids, one after the other, are the text's.
 
         Latin-1 texts are lower-cased first, as the tokenizer does (its other normalization leaves them alone), but
         for those in which a special token's name may stand.
@@ -82,8 +78,28 @@ class Encoder:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return WHOLE.findall(text)
-        return WHOLE.findall(text) if "<|" in text else PIECE.findall(text.lower())
+            return text.encode().split()
+        return text.encode().split() if "<|" in text else text.lower().encode().split()
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Words, and words that one full stop or comma closes (the tokenizer divides there), are looked up as words."""
+        words, other, closed = [], [], []
+        for p in pieces:
+            w = p.decode()
+            if w.isalpha():
+                words.append(w)
+            elif p[-1:] in (b".", b",") and w[:-1].isalpha():
+                closed.append(p)
+            else:
+                other.append(w)
+        known = self.known
+        cores = {p[:-1] for p in closed}.difference(known)
+        again = cores.intersection(self.older)
+        known.update([(w, self.older[w]) for w in again])
+        self._words(sorted({*words, *(w.decode() for w in cores.difference(again))}))
+        self._each([mark for mark in (".", ",") if mark.encode() not in known])
+        self._each(sorted(other))
+        known.update([(p, known[p[:-1]] + known[p[-1:]]) for p in closed])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without the end id."""
@@ -93,11 +109,7 @@ class Encoder:
         new = set(chain.from_iterable(split)).difference(self.known)
         again = new.intersection(self.older)
         self.known.update([(p, self.older[p]) for p in again])
-        plain, other = [], []
-        for p in new.difference(again):
-            (plain if p.isalpha() else other).append(p)
-        self._words(sorted(plain))
-        self._each(sorted(other))
+        self._learn(new.difference(again))
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in split]
 
