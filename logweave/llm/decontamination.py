@@ -29,7 +29,7 @@ from .common import saved, ship_package, table
 from .textops import Words, chunks
 
 WINDOW = 13
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 SAMPLE_STEP = 16
 SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPAN)])

@@ -26,7 +26,7 @@ from .textops import mixed
 UND = "und"
 BUCKETS = 1 << 14
 MAX_N = 3
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 150_000
 #: n-grams beyond this many add no confidence: the score is a softmax of the mean log-probability times at most this
 EVIDENCE = 40
 _folded: list = []

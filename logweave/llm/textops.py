@@ -13,7 +13,7 @@ import numpy as np
 
 SPACE = bytes([0x20, 9, 10, 11, 12, 13])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict = {}
