@@ -30,7 +30,7 @@ from .common import bucket_of, range_bounds, scratch_path, ship_package, table
 
 END_ID = 1
 #: pieces whose ids a worker keeps, twice: those of the current and of the last generation
-CACHE_PIECES = 300_000
+CACHE_PIECES = 120_000
 _encoders: dict = {}
 
 
@@ -49,17 +49,17 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
 
     def _each(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 2000):
-            part = pieces[a : a + 2000]
+        for a in range(0, len(pieces), 500):
+            part = pieces[a : a + 500]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[piece.encode()] = np.array(got.ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> None:
         """Words of letters only, 500 to a text, cut again at the ids that end a word."""
         parts = [words[a : a + 500] for a in range(0, len(words), 500)]
-        for a in range(0, len(parts), 8):
-            texts = [" ".join(p) for p in parts[a : a + 8]]
-            for part, got in zip(parts[a : a + 8], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for a in range(0, len(parts), 4):
+            texts = [" ".join(p) for p in parts[a : a + 4]]
+            for part, got in zip(parts[a : a + 4], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(got.ids, "<u4")
                 cut = np.flatnonzero(self.closes[ids]) + 1
                 if len(cut) != len(part) or cut[-1] != len(ids):
