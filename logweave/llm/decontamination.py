@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import saved, ship_package, table
-from .textops import Words, chunks
+from .textops import Words, chunks, lazily
 
 WINDOW = 13
 SHARD_BYTES = 4_000_000
@@ -220,7 +220,7 @@ def bench_windows(bench: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in chunks(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+            for ids, texts in chunks(lazily(batch.column("item")), lazily(batch.column("text"))):
                 w = Words(texts, word_bytes())
                 items, found = [], []
                 for d, item in enumerate(ids):

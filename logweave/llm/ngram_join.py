@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, saved, ship_package, table
-from .textops import chunks, mixed, shingle_sets
+from .textops import chunks, lazily, mixed, shingle_sets
 
 COUNTERS = 1 << 18
 CHUNKS = 16
@@ -85,7 +85,7 @@ def sizes_and_digests(docs: DataFrame, words: int) -> DataFrame:
         total = np.zeros(COUNTERS, np.int64)
         names = ["kind", "doc_id", "n", "digest", "part", "counts"]
         for batch in batches:
-            for ids, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for ids, texts in chunks(lazily(batch.column("doc_id")), lazily(batch.column("text"))):
                 sets = list(shingle_sets(texts, words))
                 n = np.array([len(s) for s in sets], np.int64)
                 if n.sum():
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bo
         table_ = shared.value
         names = ["doc_id", "n", "digest", "sketch", "wide", "prefix", "subsets"]
         for batch in batches:
-            for ids, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for ids, texts in chunks(lazily(batch.column("doc_id")), lazily(batch.column("text"))):
                 rows = []
                 for doc_id, s in zip(ids, shingle_sets(texts, words), strict=True):
                     if doc_id is None or not len(s):
@@ -339,7 +339,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name:
             where = ids % bits
             keep = ((shared.value[where // 64] >> (where % 64)) & 1).astype(bool) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(keep))
-            for own, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for own, texts in chunks(lazily(batch.column("doc_id")), lazily(batch.column("text"))):
                 found = [s.tobytes() for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.binary())], names=["id", "s"])
 

@@ -7,7 +7,7 @@ single text is never cut.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -19,8 +19,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict = {}
 
 
-def chunks(rows: list, texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
-    """Split parallel lists into pieces whose UTF-8 texts hold at most ``limit`` bytes (one text at least)."""
+def lazily(column, rows: int = 500) -> Iterator:
+    """Values of an Arrow column, a slice at a time, so a batch is not turned into Python objects at once."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
+
+
+def chunks(rows: Iterable, texts: Iterable, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """Split parallel sequences into pieces whose UTF-8 texts hold at most ``limit`` bytes (one text at least)."""
     part_rows: list = []
     part: list[bytes] = []
     size = 0

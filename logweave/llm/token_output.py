@@ -128,10 +128,9 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
     end = np.array([END_ID], "<u4").tobytes()
     bucket, offset = None, 0
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a in range(0, len(texts), 200):
+        for a in range(0, len(batch), 200):
             part = batch.slice(a, 200)
-            rows = [x + end for x in enc.encode(texts[a : a + 200])]
+            rows = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
             starts = []
             for b, x in zip(part.column("bucket").to_pylist(), rows, strict=True):
                 if b != bucket:
@@ -178,8 +177,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
-        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).view("<u4")
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         n = pa.array(np.diff(at).astype(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), n, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
