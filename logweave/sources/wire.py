@@ -172,7 +172,7 @@ def read_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def peers(spark: SparkSession, text: str) -> DataFrame:
-    """Members of ``id:host:port,...``: the id ends at the first colon, the port starts at the last; ids must differ."""
+    """Members of ``id:host:port,...``: the id ends at the first colon, the port starts at the last."""
     one = F.explode(F.split(F.lit(text), ",")).alias("p")
     rows = spark.range(1).select(one).select(F.regexp_extract("p", r"\A([0-9]+):(.+):([0-9]+)\z", 1).cast("int").alias("id"), F.regexp_extract("p", r"\A([0-9]+):(.+):([0-9]+)\z", 2).alias("host"), F.regexp_extract("p", r"\A([0-9]+):(.+):([0-9]+)\z", 3).cast("int").alias("raft_port"))
     return rows
