@@ -2,7 +2,7 @@
 
 A word's vector is the mean of the vectors of its hashed character n-grams (3 to 5, with word boundaries)
 and of the whole word, so unseen misspellings share most of a known word's vectors.  A passage is the
-mean of its words' vectors; a softmax over two classes sits on top; both are trained together by stochastic gradient descent on a
+mean of its words' vectors, repeats included; a softmax over two classes sits on top; both are trained together by stochastic gradient descent on a
 bounded sample of labelled rows.  A document is scored over every passage of ``window`` words (stepping by
 half of it) and as a whole, and gets the largest probability, so a few words in a very long text still count.
 
@@ -80,9 +80,9 @@ class _Memo(dict):
 _pieces = _Memo(lambda chunk: tuple(WORD.findall(chunk.lower())))
 
 
-def distinct_words(text: str) -> list[str]:
-    """Lower-cased words in the order in which they first occur."""
-    return list(dict.fromkeys(chain.from_iterable(map(_pieces.__getitem__, dict.fromkeys(text.split())))))
+def words_of(text: str) -> list[str]:
+    """Lower-cased words in order, with every repeat."""
+    return list(chain.from_iterable(map(_pieces.__getitem__, text.split())))
 
 
 class Classifier:
@@ -109,7 +109,7 @@ class Classifier:
         """Whole texts; 200 at a time, whose unknown words are looked up together."""
         out = []
         for a in range(0, len(texts), 200):
-            split = [distinct_words(t or "") for t in texts[a : a + 200]]
+            split = [words_of(t or "") for t in texts[a : a + 200]]
             if len(self._known) > CACHE_WORDS:
                 self._known.clear()
             new = set(chain.from_iterable(split)).difference(self._known)
@@ -140,24 +140,24 @@ def _scatter(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 20, batch: int = 32, rate: float = 8.0, decay: float = 0.002, min_docs: int = 6, rarity: float = 0.02, window: int = 60, seed: int = 7) -> Classifier:
     """Joint training of subword vectors and softmax on passages.  Classes are weighted evenly.
 
-    A toxic text's passage is the one its current model finds most toxic, a clean text's one is its most
-    suspicious one or the whole text, in turn.
+    A text's passage is the one its current model finds most toxic, as in scoring; the first epoch trains on whole texts.
     """
     if not texts or len(set(labels)) < 2:
         return Classifier(np.zeros(buckets, np.float32), -60.0 if not any(labels) else 60.0, window)
     vocab: dict[str, int] = {}
-    docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in distinct_words(t or "")), np.int64) for t in texts]
+    docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(t or "")), np.int32) for t in texts]
+    whole = [np.unique(d, return_counts=True) for d in docs]
     flat, word_of = subwords(list(vocab), buckets)
     size = np.bincount(word_of, minlength=len(vocab))
     first = np.concatenate([[0], np.cumsum(size)])
     seen = np.zeros(buckets, np.int64)
-    for d in docs:
+    for d, _ in whole:
         if len(d):
-            seen[np.unique(np.concatenate([flat[first[w] : first[w + 1]] for w in np.unique(d)]))] += 1
+            seen[np.unique(np.concatenate([flat[first[w] : first[w + 1]] for w in d]))] += 1
     frequent = (seen >= min_docs).astype(np.float64)
     df = np.zeros(len(vocab), np.int64)
-    for d in docs:
-        df[np.unique(d)] += 1
+    for d, _ in whole:
+        df[d] += 1
     damp = np.sqrt(rarity / (rarity + df / len(docs)))
     y = np.array(labels, np.int64)
     weight = np.where(y == 1, len(y) / (2.0 * max(1, y.sum())), len(y) / (2.0 * max(1, (1 - y).sum())))
@@ -171,25 +171,27 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
         if epoch:
             value = emb @ (top[:, 1] - top[:, 0])
             word_value = np.add.reduceat(value[flat], first[:-1]) / size * damp
-        chosen = []
+        chosen = []  # words and how often each counts
         for i, d in enumerate(docs):
-            if len(d) > window and word_value is not None and (y[i] == 1 or epoch % 2):
+            if len(d) > window and word_value is not None:
                 run = np.concatenate([[0.0], np.cumsum(word_value[d])])
                 a = int(np.argmax(run[window:] - run[:-window]))
-                d = d[a : a + window]
-            chosen.append(d)
+                chosen.append((d[a : a + window], np.ones(window, np.int64)))
+            else:
+                chosen.append(whole[i])
         order = rng.permutation(len(docs))
         for b in range(0, len(order), batch):
             ids = order[b : b + batch]
-            words = np.concatenate([chosen[i] for i in ids])
-            n = np.fromiter((len(chosen[i]) for i in ids), np.int64, len(ids))
-            owner = np.repeat(np.arange(len(ids)), n)
+            words = np.concatenate([chosen[i][0] for i in ids])
+            times = np.concatenate([chosen[i][1] for i in ids])
+            owner = np.repeat(np.arange(len(ids)), [len(chosen[i][0]) for i in ids])
+            n = np.bincount(owner, weights=times, minlength=len(ids))
             used, inverse = np.unique(words, return_inverse=True)
             reps = size[used]
             starts = np.concatenate([[0], np.cumsum(reps)])
             sub = flat[np.repeat(first[used], reps) + np.arange(starts[-1]) - np.repeat(starts[:-1], reps)]
             vec = np.add.reduceat(emb[sub], starts[:-1]) * (damp[used] / reps)[:, None] if len(used) else np.zeros((0, dim))
-            mean = _scatter(vec[inverse], owner, len(ids)) / (n + SMOOTH)[:, None]
+            mean = _scatter(vec[inverse] * times[:, None], owner, len(ids)) / (n + SMOOTH)[:, None]
             z = mean @ top + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -197,7 +199,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
             err[np.arange(len(ids)), y[ids]] -= 1
             err *= weight[ids][:, None]
             d_mean = (err @ top.T) / (n + SMOOTH)[:, None]
-            d_vec = _scatter(d_mean[owner], inverse, len(used)) * (damp[used] / reps)[:, None]
+            d_vec = _scatter(d_mean[owner] * times[:, None], inverse, len(used)) * (damp[used] / reps)[:, None]
             rows, back = np.unique(sub, return_inverse=True)
             d_emb = _scatter(np.repeat(d_vec, reps, axis=0), back, len(rows))
             pace = rate * (1 - step / steps)

@@ -145,3 +145,25 @@ def test_toxicity_of_misspellings():
     model = toxicity.train(texts, [i % 2 for i in range(400)])
     fine, bad, misspelled, empty = model.score([" ".join(words(30, 999)), " ".join(words(30, 999) + ["idiot"]), " ".join(words(30, 999) + ["idiott"]), None])
     assert bad > fine and misspelled > fine and 0 <= empty <= 1
+
+
+def test_toxicity_counts_every_occurrence():
+    texts = [" ".join(words(30, i) + (["idiot"] if i % 2 else [])) for i in range(400)]
+    model = toxicity.train(texts, [i % 2 for i in range(400)], window=20)
+    once, often = model.log_odds(["idiot", "idiot " * 60])
+    assert np.allclose([once - model.bias, often - model.bias], [model.word("idiot") / 11, 60 * model.word("idiot") / 70])
+
+    # a late passage whose words all came before, far apart
+    late = words(300, 1) + ["idiot"] + words(300, 2) + ["idiot", "w1", "idiot", "w2", "idiot"] + words(300, 3)
+    x = [model.word(w) for w in late]
+    at = [*range(0, len(x) - 20, 10), len(x) - 20]
+    want = max(sum(x) / (len(x) + 10), *(sum(x[a : a + 20]) / 30 for a in at))
+    assert np.isclose(model.log_odds([" ".join(late)])[0], model.bias + want)
+
+
+def test_toxicity_trains_on_repeats():
+    # both classes have the same words; only how often they occur tells them apart
+    texts = ["good bad " + ("bad " if i % 2 else "good ") * 20 for i in range(200)]
+    model = toxicity.train(texts, [i % 2 for i in range(200)])
+    clean, toxic = model.score(texts[:2])
+    assert clean < 0.3 and toxic > 0.7
