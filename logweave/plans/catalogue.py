@@ -397,14 +397,21 @@ def resp_encode(spark, d):
 
 @query("resp_decode", "SELECT source AS conn, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY source")
 def resp_decode(spark, d):
-    """Documents as SET commands of one connection per source, cut into chunks at every half, decoded again."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    wire_bytes = b.resp_array(F.array(F.lit("SET"), F.col("doc_id").cast("string"), F.col("text"))).cast("binary")
-    half = F.floor(F.octet_length(wire_bytes) / 2).cast("int")
-    both = F.array(F.struct((F.col("doc_id") * 2).alias("seq"), F.substring(wire_bytes, F.lit(1), half).alias("bytes")), F.struct((F.col("doc_id") * 2 + 1).alias("seq"), F.substring(wire_bytes, half + 1, F.octet_length(wire_bytes)).alias("bytes")))
+    """Documents as SET commands of one connection per source, cut into chunks at every half, decoded again.
+
+    A document without text is a DEL, which is counted and has no bytes.  An invalid command fails the query.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    args = F.when(F.col("text").isNull(), F.array(F.lit("DEL"), key)).otherwise(F.array(F.lit("SET"), key, F.col("text")))
+    # ids may be null or repeat, so chunks are ordered by row as well
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", F.monotonically_increasing_id().alias("row"), b.resp_array(args).cast("binary").alias("wire"))
+    half = F.floor(F.octet_length("wire") / 2).cast("int")
+    seq = lambda part: F.struct("doc_id", "row", F.lit(part).alias("part")).alias("seq")
+    both = F.array(F.struct(seq(0), F.substring("wire", F.lit(1), half).alias("bytes")), F.struct(seq(1), F.substring("wire", half + 1, F.octet_length("wire")).alias("bytes")))
     chunks = docs.select(F.col("source").alias("conn"), F.explode(both).alias("x")).select("conn", "x.seq", "x.bytes")
-    done = wire.decode_commands(chunks)
-    return done.groupBy("conn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.element_at("args", 3))).alias("n_bytes"))
+    done = wire.count_commands(wire.decode_commands(chunks, wire.ANY_COMMAND), 2)
+    whole = F.when(F.col("n_errors") > 0, F.raise_error(F.lit("invalid command")).cast("long")).otherwise(F.col("n"))
+    return done.select("conn", whole.alias("n"), "n_bytes")
 
 
 @query("snapshot_roundtrip", LOG_SQL + "SELECT k, CAST(v AS VARCHAR) AS v FROM state WHERE op = 'SET'")

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 MAX_ARGS = 1024
 MAX_COMMAND = 1 << 20
 MAX_FRAME = 10 << 20
+#: no binary of Spark is longer
+ANY_COMMAND = (1 << 31) - 1
+OUT_BYTES = 64 << 20
 FRAME_TYPES = range(6)
 
 
@@ -40,8 +43,8 @@ def _line(data: bytes, at: int, mark: bytes, most: int) -> tuple[int, int] | Non
     return int(digits), end + 2
 
 
-def parse_command(data: bytes, at: int = 0) -> tuple[list[bytes], int] | None:
-    """(arguments, bytes used) of the command at ``at``; None if it is incomplete; raises Invalid."""
+def parse_command(data: bytes, at: int = 0, most: int = MAX_COMMAND) -> tuple[list[bytes], int] | None:
+    """(arguments, bytes used) of the command at ``at``; None if it is incomplete; raises Invalid, also beyond ``most`` bytes."""
     start, head = at, _line(data, at, b"*", MAX_ARGS)
     if head is None:
         return None
@@ -50,11 +53,11 @@ def parse_command(data: bytes, at: int = 0) -> tuple[list[bytes], int] | None:
         raise Invalid("empty command")
     args = []
     for _ in range(n):
-        got = _line(data, at, b"$", MAX_COMMAND)
+        got = _line(data, at, b"$", most)
         if got is None:
             return None
         size, at = got
-        if at - start + size + 2 > MAX_COMMAND:
+        if at - start + size + 2 > most:
             raise Invalid("command too large")
         if len(data) < at + size + 2:
             if len(data) > at + size and data[at + size : at + size + 1] != b"\r":
@@ -67,18 +70,18 @@ def parse_command(data: bytes, at: int = 0) -> tuple[list[bytes], int] | None:
     return args, at - start
 
 
-def decode_commands(chunks: DataFrame) -> DataFrame:
+def decode_commands(chunks: DataFrame, most: int = MAX_COMMAND) -> DataFrame:
     """Commands of ``chunks(conn, seq, bytes)``: conn, n, args, consumed, error.
 
     Each connection's chunks are read in order as a stream; only an incomplete command is carried along.  After an
-    invalid command a connection yields one error row and nothing more.
+    invalid command, or one of more than ``most`` bytes, a connection yields one error row and nothing more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conn, tail, n, broken = None, b"", 0, False
         kind = pa.schema([("conn", pa.string()), ("n", pa.int64()), ("args", pa.list_(pa.binary())), ("consumed", pa.int64()), ("error", pa.string())])
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for c, data in zip(batch.column("conn").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 if c != conn:
                     conn, tail, n, broken = c, b"", 0, False
@@ -86,9 +89,12 @@ def decode_commands(chunks: DataFrame) -> DataFrame:
                     continue
                 tail, at = tail + (data or b""), 0
                 try:
-                    while (got := parse_command(tail, at) if at < len(tail) else None) is not None:
+                    while (got := parse_command(tail, at, most) if at < len(tail) else None) is not None:
                         rows.append({"conn": conn, "n": n, "args": got[0], "consumed": got[1], "error": None})
-                        n, at = n + 1, at + got[1]
+                        n, at, held = n + 1, at + got[1], held + got[1]
+                        if held > OUT_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                            rows, held = [], 0
                 except Invalid as bad:
                     rows.append({"conn": conn, "n": n, "args": None, "consumed": None, "error": str(bad)})
                     broken = True
@@ -99,6 +105,12 @@ def decode_commands(chunks: DataFrame) -> DataFrame:
     return ordered.select("conn", "bytes").mapInArrow(run, "conn string, n long, args array<binary>, consumed long, error string")
 
 
+def count_commands(commands: DataFrame, arg: int) -> DataFrame:
+    """Per connection of ``decode_commands``: n commands, n_bytes of their argument ``arg`` (null if none has it), n_errors."""
+    fine = F.col("error").isNull()
+    return commands.groupBy("conn").agg(F.count_if(fine).alias("n"), F.sum(F.octet_length(F.get("args", F.lit(arg)))).alias("n_bytes"), F.count_if(~fine).alias("n_errors"))
+
+
 def encode_frame(kind: int, sender: int, payload: bytes) -> bytes:
     return struct.pack(">IBI", len(payload) + 5, kind, sender) + payload
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logweave.functions import bytes as b
 from logweave.functions import commands as c
 from logweave.operators import batching, replay, telemetry
+from logweave.plans import catalogue
 from logweave.sources import wire
 from logweave.streaming.views import VersionedView, stream_idemp, stream_kv_view
 
@@ -61,6 +62,21 @@ def test_invalid_commands(bad):
         wire.parse_command(bad)
 
 
+def test_null_long_and_repeated_documents_decode(spark, tmp_path):
+    texts = [(1, "a", "x"), (2, None, "x"), (3, "b" * (3 << 20), "x"), (3, "", "x"), (3, "é", "x"), (None, "cc", "x"), (None, "d", "x"), (4, None, "y"), (5, "e", None)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.conn: (r.n, r.n_bytes) for r in catalogue.QUERIES["resp_decode"](spark, str(tmp_path)).collect()}
+    assert got == {"x": (7, 1 + (3 << 20) + 0 + 2 + 2 + 1), "y": (1, None), None: (1, 1)}
+
+
+def test_errors_are_counted_apart(spark):
+    long = b"*1\r\n$%d\r\n%s\r\n" % (1 << 20, b"x" * (1 << 20))
+    chunks = spark.createDataFrame([(c, s, bytearray(x)) for c in "ab" for s, x in enumerate((b"*1\r\n$4\r\nPING\r\n", long if c == "a" else b"*1\r\n$-1\r\n", b"*1\r\n$4\r\nPING\r\n"))], "conn string, seq int, bytes binary")
+    counts = lambda *most: {r.conn: (r.n, r.n_bytes, r.n_errors) for r in wire.count_commands(wire.decode_commands(chunks, *most), 0).collect()}
+    assert counts() == {"a": (1, 4, 1), "b": (1, 4, 1)}
+    assert counts(wire.ANY_COMMAND) == {"a": (3, 8 + (1 << 20), 0), "b": (1, 4, 1)}
+
+
 def test_frames_and_snapshots():
     assert wire.decode_frame(wire.encode_frame(2, 42, b"abc\0xyz")) == (2, 42, b"abc\0xyz", 16)
     assert wire.decode_frame(b"\0\0") is None
