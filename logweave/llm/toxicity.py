@@ -30,6 +30,8 @@ from .textops import mixed
 
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 300_000
+#: longer runs of word characters (scripts without spaces, joined text) are scored in pieces
+RUN = 60
 #: neutral words that every passage counts besides its own, so that one word alone decides nothing
 SMOOTH = 10
 
@@ -37,9 +39,9 @@ SMOOTH = 10
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word number) of the character n-grams of each word and of the word itself, ordered by word.
 
-    Words are taken with boundary marks; of words beyond 60 characters the first 60 count.
+    Words are taken whole, with boundary marks.
     """
-    marked = [f"<{w[:60]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     end = np.cumsum(size)
@@ -73,15 +75,25 @@ class _Memo(dict):
     def __missing__(self, key: str):
         if len(self) >= CACHE_WORDS:
             self.clear()
-        out = self[key] = self.of(key)
+        out = self.of(key)
+        if len(key) <= 1000:
+            self[key] = out
         return out
 
 
-_pieces = _Memo(lambda chunk: tuple(WORD.findall(chunk.lower())))
+def split_words(chunk: str) -> tuple[str, ...]:
+    """Lower-cased words; a run beyond RUN characters counts as pieces that overlap, so that each holds every n-gram that starts in its first RUN."""
+    out = []
+    for w in WORD.findall(chunk.lower()):
+        out += [w] if len(w) <= RUN else [w[a : a + RUN + 4] for a in range(0, len(w) - 4, RUN)]
+    return tuple(out)
+
+
+_pieces = _Memo(split_words)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words in order, with every repeat."""
+    """Lower-cased words in order, with every repeat and all pieces of long runs."""
     return list(chain.from_iterable(map(_pieces.__getitem__, text.split())))
 
 
@@ -147,8 +159,10 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     vocab: dict[str, int] = {}
     docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(t or "")), np.int32) for t in texts]
     whole = [np.unique(d, return_counts=True) for d in docs]
-    flat, word_of = subwords(list(vocab), buckets)
-    size = np.bincount(word_of, minlength=len(vocab))
+    names = list(vocab)
+    slices = [(len(part), *subwords(part, buckets)) for part in (names[a : a + 20_000] for a in range(0, max(1, len(names)), 20_000))]
+    flat = np.concatenate([bucket for _, bucket, _ in slices])
+    size = np.concatenate([np.bincount(word, minlength=n) for n, _, word in slices])
     first = np.concatenate([[0], np.cumsum(size)])
     seen = np.zeros(buckets, np.int64)
     for d, _ in whole:

@@ -167,3 +167,15 @@ def test_toxicity_trains_on_repeats():
     model = toxicity.train(texts, [i % 2 for i in range(200)])
     clean, toxic = model.score(texts[:2])
     assert clean < 0.3 and toxic > 0.7
+
+
+def test_toxicity_of_long_runs():
+    texts = [" ".join(words(30, i) + (["idiot"] if i % 2 else [])) for i in range(400)]
+    model = toxicity.train(texts, [i % 2 for i in range(400)])
+    fine, bad = model.log_odds(["_".join(words(300, 9)), "_".join(words(200, 9) + ["idiot"] * 60 + words(100, 9))])
+    assert bad > fine + 0.1
+    for n in [*range(55, 70), *range(115, 130), 500]:
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(run)
+        assert len(pieces) == 1 if n <= 60 else max(map(len, pieces)) <= 64
+        assert all(any(run[a : a + k] in p for p in pieces) for k in (3, 4, 5) for a in range(n - k + 1))
