@@ -1,10 +1,11 @@
 """Toxicity: a bag of subword embeddings, averaged, into a linear softmax; trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its hashed character n-grams (3 to 5, with word boundaries)
-and of the whole word, so unseen misspellings share most of a known word's vectors.  A passage is the
-mean of its words' vectors, repeats included; a softmax over two classes sits on top; both are trained together by stochastic gradient descent on a
-bounded sample of labelled rows.  A document is scored over every passage of ``window`` words (stepping by
-half of it) and as a whole, and gets the largest probability, so a few words in a very long text still count.
+and of the whole word, so unseen misspellings share most of a known word's vectors.  A passage is the weighted
+mean of its words' vectors: every occurrence counts, the k-th of a word k ** -repeats (0: all alike).  A softmax over two
+classes sits on top; both are trained together on a bounded sample of labelled rows.  A document has a passage of
+``window`` words at every half window, over its whole text, is one passage as a whole too, and gets the largest
+probability, so a few words in a very long text still count.
 
 Defined cases: a null or empty text has no words and gets the model's bias as score; rows without a label do
 not train; a null doc_id hashes like an empty one; labels may repeat (the largest counts); without labels
@@ -34,6 +35,8 @@ CACHE_WORDS = 300_000
 RUN = 60
 #: neutral words that every passage counts besides its own, so that one word alone decides nothing
 SMOOTH = 10
+#: the k-th occurrence of a word in a passage counts k ** -REPEATS, so a line said fifty times does not outweigh a passage
+REPEATS = 2.0
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,133 +100,174 @@ def words_of(text: str) -> list[str]:
     return list(chain.from_iterable(map(_pieces.__getitem__, text.split())))
 
 
+def passages(ids: np.ndarray, first: np.ndarray, window: int, rows: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, starts, word ids as rows) of the passages of texts ``ids[first[i]:first[i + 1]]``, ``rows`` at a time.
+
+    A text of up to ``window`` words is one passage; a longer one has a passage at every half window and at its end.
+    Rows of shorter texts are filled up with -1; a text without words has no passage.
+    """
+    n = np.diff(first)
+    step = max(1, window // 2)
+    many = np.where(n > window, -(-(n - window) // step) + 1, (n > 0).astype(np.int64))
+    before = np.concatenate([[0], np.cumsum(many)])
+    padded = np.concatenate([ids, np.full(window, -1, ids.dtype)])
+    for a in range(0, int(before[-1]), rows):
+        k = np.arange(a, min(a + rows, int(before[-1])))
+        text = np.searchsorted(before, k, side="right") - 1
+        start = np.minimum((k - before[text]) * step, np.maximum(n[text] - window, 0))
+        own = padded[(first[text] + start)[:, None] + np.arange(window)]
+        own[np.arange(window) >= n[text][:, None]] = -1
+        yield text, start, own
+
+
+def repeat_weights(rows: np.ndarray, power: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by word id, and what each occurrence counts: the k-th of a word in its row k ** -power; fillings (-1) count nothing."""
+    rows = np.sort(rows, axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    place = np.arange(rows.shape[1])
+    k = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    return rows, np.where(rows >= 0, (np.arange(1, rows.shape[1] + 1.0) ** -power)[k], 0.0)
+
+
 class Classifier:
-    """``value`` (buckets): what a subword adds to the log odds; ``bias``; ``common``: weights of words that many texts have."""
+    """``value`` (buckets): what a subword adds to the log odds; ``bias``; ``common``: weights of words that many texts have.
+
+    ``repeats``: the k-th occurrence of a word in a passage counts k ** -repeats.
+    """
 
-    def __init__(self, value: np.ndarray, bias: float, window: int, common: dict[str, float] | None = None):
-        self.value, self.bias, self.window, self.common = value, bias, window, common or {}
-        self._known: dict[str, float] = {}
+    def __init__(self, value: np.ndarray, bias: float, window: int, common: dict[str, float] | None = None, repeats: float = 0.0):
+        self.value, self.bias, self.window, self.common, self.repeats = value, bias, window, common or {}, repeats
+        self._forget()
 
     def __reduce__(self):
-        return Classifier, (self.value, self.bias, self.window, self.common)
+        return Classifier, (self.value, self.bias, self.window, self.common, self.repeats)
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self._values = np.zeros(1)  # by number, 1 and up; the last stands for fillings
 
     def word(self, w: str) -> float:
-        self._learn([w])
-        return self._known[w]
+        return float(self._learn([w])[0])
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> np.ndarray:
         bucket, word = subwords(words, len(self.value))
         mean = np.bincount(word, weights=self.value[bucket], minlength=len(words)) / np.bincount(word, minlength=len(words))
-        common = self.common.get
-        self._known.update((w, x * common(w, 1.0)) for w, x in zip(words, mean.tolist(), strict=True))
+        return mean * np.fromiter((self.common.get(w, 1.0) for w in words), np.float64, len(words))
 
     def log_odds(self, texts: list[str | None]) -> list[float]:
         """Whole texts; 200 at a time, whose unknown words are looked up together."""
-        out = []
+        out: list[float] = []
         for a in range(0, len(texts), 200):
             split = [words_of(t or "") for t in texts[a : a + 200]]
-            if len(self._known) > CACHE_WORDS:
-                self._known.clear()
-            new = set(chain.from_iterable(split)).difference(self._known)
+            if len(self._number) > CACHE_WORDS:
+                self._forget()
+            new = sorted(set(chain.from_iterable(split)).difference(self._number))
             if new:
-                self._learn(sorted(new))
-            known = self._known.__getitem__
-            out += [self._odds(np.fromiter(map(known, words), np.float64, len(words))) for words in split]
+                self._number.update(zip(new, range(len(self._number), len(self._number) + len(new)), strict=True))
+                self._values = np.concatenate([self._values[:-1], self._learn(new), [0.0]])
+            first = np.concatenate([[0], np.cumsum([len(w) for w in split])])
+            ids = np.fromiter(map(self._number.__getitem__, chain.from_iterable(split)), np.int32, first[-1])
+            best = self._whole(ids, first)
+            for text, _, rows in passages(ids, first, self.window):
+                rows, weight = repeat_weights(rows, self.repeats)
+                size = np.minimum(np.diff(first)[text], self.window)
+                np.maximum.at(best, text, (self._values[rows] * weight).sum(axis=1) / (size + SMOOTH))
+            out += (self.bias + best).tolist()
         return out
 
-    def _odds(self, x: np.ndarray) -> float:
-        if not len(x):
-            return self.bias
-        run = np.concatenate([[0.0], np.cumsum(x)])
-        if len(x) <= self.window:
-            return self.bias + run[-1] / (len(x) + SMOOTH)
-        at = np.append(np.arange(0, len(x) - self.window, max(1, self.window // 2)), len(x) - self.window)
-        return self.bias + max(run[-1] / (len(x) + SMOOTH), float((run[at + self.window] - run[at]).max()) / (self.window + SMOOTH))
+    def _whole(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Score of each text as one passage; 0 without words."""
+        n = np.diff(first)
+        owner = np.repeat(np.arange(len(n)), n)
+        pair, times = np.unique(owner * np.int64(len(self._values)) + ids, return_counts=True)
+        upto = np.cumsum(np.arange(1, times.max(initial=0) + 1.0) ** -self.repeats)
+        text, word = np.divmod(pair, len(self._values))
+        return np.bincount(text, weights=self._values[word] * upto[times - 1], minlength=len(n)) / (n + SMOOTH)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.array(self.log_odds(texts), float), -60, 60)))
 
 
-def _scatter(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``at``."""
-    return np.stack([np.bincount(at, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1)
-
-
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 20, batch: int = 32, rate: float = 8.0, decay: float = 0.002, min_docs: int = 6, rarity: float = 0.02, window: int = 60, seed: int = 7) -> Classifier:
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 20, dim: int = 4, rounds: int = 12, steps: int = 10, rate: float = 15_000.0, momentum: float = 0.9, penalty: float = 1.5e-5, min_docs: int = 6, rarity: float = 0.02, window: int = 60, repeats: float = 0.0, seed: int = 7) -> Classifier:
     """Joint training of subword vectors and softmax on passages.  Classes are weighted evenly.
 
-    A text's passage is the one its current model finds most toxic, as in scoring; the first epoch trains on whole texts.
+    In every round a text is trained on through the passage that its current model finds most toxic, as in scoring; in the
+    first round through any passage.  A round is ``steps`` proximal gradient steps over all passages: the length of every
+    subword's vector shrinks by ``penalty`` (a group lasso), so subwords that only happen to stand in toxic texts
+    stay at zero.
     """
     if not texts or len(set(labels)) < 2:
-        return Classifier(np.zeros(buckets, np.float32), -60.0 if not any(labels) else 60.0, window)
+        return Classifier(np.zeros(buckets, np.float32), -60.0 if not any(labels) else 60.0, window, None, repeats)
     vocab: dict[str, int] = {}
     docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(t or "")), np.int32) for t in texts]
-    whole = [np.unique(d, return_counts=True) for d in docs]
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    ids = np.concatenate(docs)
     names = list(vocab)
     slices = [(len(part), *subwords(part, buckets)) for part in (names[a : a + 20_000] for a in range(0, max(1, len(names)), 20_000))]
-    flat = np.concatenate([bucket for _, bucket, _ in slices])
+    flat = np.concatenate([bucket.astype(np.int32) for _, bucket, _ in slices])
     size = np.concatenate([np.bincount(word, minlength=n) for n, _, word in slices])
-    first = np.concatenate([[0], np.cumsum(size)])
-    seen = np.zeros(buckets, np.int64)
-    for d, _ in whole:
-        if len(d):
-            seen[np.unique(np.concatenate([flat[first[w] : first[w + 1]] for w in d]))] += 1
-    frequent = (seen >= min_docs).astype(np.float64)
-    df = np.zeros(len(vocab), np.int64)
-    for d, _ in whole:
+    at = np.concatenate([[0], np.cumsum(size)])
+    df, seen = np.zeros(len(vocab), np.int64), np.zeros(buckets, np.int32)
+    for d in docs:
+        d = np.unique(d)
         df[d] += 1
+        if len(d):
+            seen[np.unique(np.concatenate([flat[at[w] : at[w + 1]] for w in d]))] += 1
+    # only subwords of min_docs texts or more are learned; others add nothing
+    learned = np.flatnonzero(seen >= min_docs)
+    row_of = np.full(buckets, -1, np.int32)
+    row_of[learned] = np.arange(len(learned))
+    sub, word_of = row_of[flat], np.repeat(np.arange(len(size), dtype=np.int32), size)
+    sub, word_of = sub[sub >= 0], word_of[sub >= 0]
     damp = np.sqrt(rarity / (rarity + df / len(docs)))
-    y = np.array(labels, np.int64)
-    weight = np.where(y == 1, len(y) / (2.0 * max(1, y.sum())), len(y) / (2.0 * max(1, (1 - y).sum())))
+    share = damp / size
+    y = np.array(labels, float)
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     rng = np.random.default_rng(seed)
-    emb = np.zeros((buckets, dim))  # subwords that training has not seen add nothing
+    emb, speed, bias = np.zeros((len(learned), dim)), np.zeros((len(learned), dim)), np.zeros(2)
     top = rng.normal(0, 1, (dim, 2))
-    bias = np.zeros(2)
-    step, steps = 0, epochs * -(-len(docs) // batch)
-    for epoch in range(epochs):
-        word_value = None
-        if epoch:
-            value = emb @ (top[:, 1] - top[:, 0])
-            word_value = np.add.reduceat(value[flat], first[:-1]) / size * damp
-        chosen = []  # words and how often each counts
+    top *= 3 / np.linalg.norm(top[:, 1] - top[:, 0])
+
+    def values() -> np.ndarray:
+        return np.bincount(word_of, weights=(emb @ (top[:, 1] - top[:, 0]))[sub], minlength=len(vocab)) * share
+
+    for turn in range(rounds):
+        value = np.append(values(), 0.0) if turn else np.append(rng.random(len(vocab)), 0.0)
+        best = np.full(len(docs), -np.inf)
+        start = np.zeros(len(docs), np.int64)
+        for text, begin, rows in passages(ids, first, window):
+            rows, counts = repeat_weights(rows, repeats)
+            x = (value[rows] * counts).sum(axis=1)
+            order = np.lexsort((-begin, x))  # of equal passages the first
+            better = x[order] >= best[text[order]]
+            best[text[order][better]], start[text[order][better]] = x[order][better], begin[order][better]
+        chosen = np.full((len(docs), window), -1, np.int32)
         for i, d in enumerate(docs):
-            if len(d) > window and word_value is not None:
-                run = np.concatenate([[0.0], np.cumsum(word_value[d])])
-                a = int(np.argmax(run[window:] - run[:-window]))
-                chosen.append((d[a : a + window], np.ones(window, np.int64)))
-            else:
-                chosen.append(whole[i])
-        order = rng.permutation(len(docs))
-        for b in range(0, len(order), batch):
-            ids = order[b : b + batch]
-            words = np.concatenate([chosen[i][0] for i in ids])
-            times = np.concatenate([chosen[i][1] for i in ids])
-            owner = np.repeat(np.arange(len(ids)), [len(chosen[i][0]) for i in ids])
-            n = np.bincount(owner, weights=times, minlength=len(ids))
-            used, inverse = np.unique(words, return_inverse=True)
-            reps = size[used]
-            starts = np.concatenate([[0], np.cumsum(reps)])
-            sub = flat[np.repeat(first[used], reps) + np.arange(starts[-1]) - np.repeat(starts[:-1], reps)]
-            vec = np.add.reduceat(emb[sub], starts[:-1]) * (damp[used] / reps)[:, None] if len(used) else np.zeros((0, dim))
-            mean = _scatter(vec[inverse] * times[:, None], owner, len(ids)) / (n + SMOOTH)[:, None]
-            z = mean @ top + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            err = p.copy()
-            err[np.arange(len(ids)), y[ids]] -= 1
-            err *= weight[ids][:, None]
-            d_mean = (err @ top.T) / (n + SMOOTH)[:, None]
-            d_vec = _scatter(d_mean[owner] * times[:, None], inverse, len(used)) * (damp[used] / reps)[:, None]
-            rows, back = np.unique(sub, return_inverse=True)
-            d_emb = _scatter(np.repeat(d_vec, reps, axis=0), back, len(rows))
-            pace = rate * (1 - step / steps)
-            step += 1
-            emb[rows] -= pace * (d_emb * frequent[rows, None] + decay * emb[rows])
-            top -= pace * 0.1 * (mean.T @ err)
-            bias -= pace * 0.02 * err.sum(axis=0)
-    value = emb @ (top[:, 1] - top[:, 0])
+            own = d[start[i] : start[i] + window]
+            chosen[i, : len(own)] = own
+        chosen, counts = repeat_weights(chosen, repeats)
+        owner, place = np.nonzero(chosen >= 0)
+        words = chosen[owner, place]
+        counts = counts[owner, place] / (np.count_nonzero(chosen >= 0, axis=1) + SMOOTH)[owner]
+        for _ in range(steps):
+            apart = top[:, 1] - top[:, 0]
+            z = np.bincount(owner, weights=values()[words] * counts, minlength=len(docs)) + bias[1] - bias[0]
+            # of two classes the softmax's error is one number with two signs
+            err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
+            g_word = np.bincount(words, weights=err[owner] * counts, minlength=len(vocab)) * share
+            g = np.bincount(sub, weights=g_word[word_of], minlength=len(learned))
+            g_top = emb.T @ g
+            before = emb
+            emb = emb + momentum * speed - rate * np.outer(g, apart)
+            emb *= np.maximum(0, 1 - rate * penalty / np.maximum(np.linalg.norm(emb, axis=1), 1e-12))[:, None]
+            speed = emb - before
+            top -= 0.001 * np.outer(g_top, [-1, 1])
+            bias += np.array([1, -1]) * err.sum()
+    value = np.zeros(buckets, np.float32)
+    value[learned] = emb @ (top[:, 1] - top[:, 0])
     common = {w: float(damp[i]) for w, i in vocab.items() if df[i] > 1 and damp[i] < 0.98}
-    return Classifier(value.astype(np.float32), float(bias[1] - bias[0]), window, common)
+    return Classifier(value, float(bias[1] - bias[0]), window, common, repeats)
 
 
 def calibrated(model: Classifier, texts: list[str], labels: list[int], weights: list[float], steps: int = 50) -> Classifier:
@@ -241,7 +285,7 @@ def calibrated(model: Classifier, texts: list[str], labels: list[int], weights:
         beta = beta + np.clip(np.linalg.solve(hess, design.T @ (w * (y - p)) - 1e-3 * (beta - [1.0, 0.0])), -1, 1)
     if beta[0] <= 0:
         return model
-    return Classifier((model.value * beta[0]).astype(np.float32), float(model.bias * beta[0] + beta[1]), model.window, model.common)
+    return Classifier((model.value * beta[0]).astype(np.float32), float(model.bias * beta[0] + beta[1]), model.window, model.common, model.repeats)
 
 
 def train_calibrated(texts: list[str], labels: list[int], weights: list[float], **params) -> Classifier:
@@ -249,7 +293,7 @@ def train_calibrated(texts: list[str], labels: list[int], weights: list[float],
     late = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0]
     held = set(late)
     early = [i for i in range(len(texts)) if i not in held]
-    model = train([texts[i] for i in early], [labels[i] for i in early], **params)
+    model = train([texts[i] for i in early], [labels[i] for i in early], **{"repeats": REPEATS, **params})
     return calibrated(model, [texts[i] for i in late], [labels[i] for i in late], [weights[i] for i in late])
 
 
