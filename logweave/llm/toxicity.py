@@ -8,8 +8,8 @@ classes sits on top; both are trained together on a bounded sample of labelled r
 probability, so a few words in a very long text still count.
 
 Defined cases: a null or empty text has no words and gets the model's bias as score; rows without a label do
-not train; a null doc_id hashes like an empty one; labels may repeat (the largest counts); without labels
-all scores are 0; repeated rows are scored alike; extra columns are kept by ``score_texts``.
+not train; a null doc_id hashes like an empty one; labels may repeat (the largest counts); without labels, or with
+labels 0 only, all scores are 0, with labels 1 only 1; repeated rows are scored alike; extra columns are kept by ``score_texts``.
 """
 
 from __future__ import annotations
@@ -271,7 +271,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 20, dim: int
 
 
 def calibrated(model: Classifier, texts: list[str], labels: list[int], weights: list[float], steps: int = 50) -> Classifier:
-    """Rescale the log odds by a logistic fit on texts that did not train the model, weighted to the classes' true shares."""
+    """Rescale the log odds by a logistic fit on texts that did not train the model."""
     y, w = np.array(labels, float), np.array(weights, float)
     if len(set(labels)) < 2:
         return model
@@ -289,11 +289,13 @@ def calibrated(model: Classifier, texts: list[str], labels: list[int], weights:
 
 
 def train_calibrated(texts: list[str], labels: list[int], weights: list[float], **params) -> Classifier:
-    """Train on four of five rows, calibrate on the fifth."""
+    """Train on four of five rows, calibrate on the fifth.  With weights that even out the classes, a score of 0.7 asks for odds of 7 to 3 between equally frequent classes."""
     late = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0]
     held = set(late)
     early = [i for i in range(len(texts)) if i not in held]
     model = train([texts[i] for i in early], [labels[i] for i in early], **{"repeats": REPEATS, **params})
+    if len({labels[i] for i in late}) < 2:
+        return model
     return calibrated(model, [texts[i] for i in late], [labels[i] for i in late], [weights[i] for i in late])
 
 
@@ -315,7 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int
     expected = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     rows = known.filter(F.col("_u") < min(1.0, max_chars / max(1, expected))).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train_calibrated([r["text"] for r in rows], [int(r["toxic"]) for r in rows], [1 / share[r["toxic"]] for r in rows], **params)
+    got = [int(r["toxic"]) for r in rows]
+    return train_calibrated([r["text"] for r in rows], got, [1 / got.count(y) for y in got], **params)
 
 
 def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
