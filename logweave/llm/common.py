@@ -14,9 +14,14 @@ TABLES_DIR = "scratch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Only a session that runs in one process (master ``local``) may leave it unset; it gets a temporary folder then.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="logweave-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -24,8 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; no two calls return the same one."""
-    return f"{shared_dir(spark)}/{TABLES_DIR}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in the application's own part of it; no two calls return the same one."""
+    return f"{shared_dir(spark)}/{TABLES_DIR}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application, once their results have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{TABLES_DIR}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, such that ``df`` has no column of that name in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -78,6 +97,24 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return local.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_offset") + F.col("_seq")).drop("_part", "_seq", "_offset")
 
 
+def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000, least: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has one narrow row per key, on keys that may hold any share of ``left``.
+
+    Rows of keys with at least 1/``share`` of all rows meet their rows of ``right`` (at most ``share`` of them) by
+    broadcast and stay where they are; the rest is an ordinary join.  ``left`` is read twice more, so it should be a table.
+    """
+    spark = left.sparkSession
+    total = left.count()
+    heavy = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least, -(-total // share))).select(*keys)
+    rows = heavy.collect()
+    if not rows:
+        return left.join(right, keys, how)
+    hot = spark.createDataFrame(rows, heavy.schema)
+    few = spark.createDataFrame(right.join(F.broadcast(hot), keys, "left_semi").collect(), right.schema)
+    usual = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
+    return usual.unionByName(left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how))
+
+
 def range_bounds(df: DataFrame, order: list[Column], key: str, rows_per_bucket: int, name: str) -> list:
     """Exact, repeatable split points of ``key``: every ``rows_per_bucket``-th value in ``order`` (nulls dropped).
 
@@ -103,8 +140,8 @@ def bucket_of(value: Column, bounds: list[int]) -> Column:
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows (node, root), root the smallest node reachable.
 
-    Alternating large-star and small-star steps; each is one aggregation and one join, hot nodes are
-    pre-aggregated (``min``) before the shuffle, and every round is written to the shared folder.
+    Alternating large-star and small-star steps; each is one aggregation and one join, and every round is written to
+    the shared folder.  Hot nodes are pre-aggregated (``min``) before the shuffle and joined by ``skewed_join``.
     Nodes without an edge do not appear.  Raises RuntimeError if ``max_rounds`` do not suffice.
     """
     cur = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-cc")
@@ -114,7 +151,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = skewed_join(both.filter("b > a"), low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
         cur = saved(small, f"{name}-cc")

@@ -15,9 +15,13 @@ Texts with equal shingle sets are one set from the start.  Two sets of sizes a a
 The boundary between light and heavy is where the number of subset keys passes the weighted number of list entries,
 from the histogram of set sizes.
 
+A node of all this is a distinct shingle set, known by its 128-bit digest and numbered once in a written table; doc_ids
+only come in at the end, so they may repeat.
+
 Defined cases: null and blank texts have an empty set and link with nothing; repeated rows and equal texts share a
-group; a text of fewer words than a shingle is one shingle; documents with null doc_id take part in no group and return
-component_id null; extra columns are kept by ``drop_near_copies``; an empty table gives an empty result.
+group; of rows with equal doc_id each has the group of its own text; a text of fewer words than a shingle is one
+shingle; documents with null doc_id take part in no group and return component_id null; extra columns, whatever
+their names, are kept by ``drop_near_copies``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved, ship_package, table
+from .common import components, free_name, saved, ship_package, skewed_join, table
 from .textops import chunks, lazily, mixed, shingle_sets
 
 COUNTERS = 1 << 18
@@ -165,42 +169,52 @@ def signatures(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bo
 
 def light_links(sets: DataFrame, percent: int) -> DataFrame:
     """Exact links (a, b) between light sets: each set of a key group to the group's smallest one."""
-    keys = sets.select("rep", "n", F.explode("subsets").alias("k")).select("rep", "n", "k.c", "k.key")
-    least = keys.groupBy("c", "key").agg(F.min(F.struct("n", "rep")).alias("m"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    met = keys.join(least, ["c", "key"]).filter("rep <> m.rep")
+    keys = saved(sets.select("node", "n", F.explode("subsets").alias("k")).select("node", "n", "k.c", "k.key"), "join-keys")
+    least = keys.groupBy("c", "key").agg(F.min(F.struct("n", "node")).alias("m"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("c", "key", "m")
+    met = skewed_join(keys, least, ["c", "key"]).filter("node <> m.node")
     # c shared shingles are enough for sizes that ask for no more
     enough = F.col("c") * (100 + percent) >= percent * (F.col("n") + F.col("m.n"))
-    return met.filter(enough).select(F.col("m.rep").alias("a"), F.col("rep").alias("b"))
+    return met.filter(enough).select(F.col("m.node").alias("a"), F.col("node").alias("b"))
 
 
-LISTED = "token long, rep long, head long, before long, place long"
+LISTED = "token long, node long, head long, before long, place long"
 
 
-def shared_tokens(entries: DataFrame) -> DataFrame:
-    """Entries of lists with two or more: token, rep, first rep of the list, the one before, place in the list.
+def shared_tokens(entries: DataFrame, block: int) -> DataFrame:
+    """Entries of lists with two or more: token, node, first node of the list, the one before, place in the list.
 
-    A stream over sorted lists; nothing is gathered, however long a list is.
+    A stream over sorted lists; nothing is gathered, however long a list is.  Lists of a thousandth of all entries and
+    of more than ``block`` are dealt out to several tasks in parts with firsts of their own (that only makes the linear
+    candidates differ).
     """
+    spark = entries.sparkSession
+    total = entries.count()
+    hot = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(block, total // 1000)).collect()  # 1,000 rows at most
+    parts = spark.createDataFrame([(r["token"], -(-r["n"] // block)) for r in hot], "token long, parts long")
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1))
+    entries = entries.join(F.broadcast(parts), "token", "left").select("token", "node", part.alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
-        last: tuple | None = None  # token, rep, head, place of the last row that was decided
+        last: tuple | None = None  # token, part, node, head, place of the last row that was decided
         names = [c.split()[0] for c in LISTED.split(", ")]
 
         def decided(t: pa.Table, upto: int) -> pa.RecordBatch:
             nonlocal last
-            token, rep = (t.column(c).to_numpy() for c in ("token", "rep"))
-            new = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
+            token, part, node = (t.column(c).to_numpy() for c in ("token", "part", "node"))
+            other = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+            new = np.concatenate([[last is None or (token[0], part[0]) != last[:2]], other])
             start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            head = np.where(start >= 0, rep[start], last[2] if last else 0)
-            place = np.where(start >= 0, np.arange(len(token)) - start, np.arange(len(token)) + (last[3] + 1 if last else 0))
-            before = np.concatenate([[last[1] if last else 0], rep[:-1]])
-            followed = np.concatenate([token[1:] == token[:-1], [False]])
-            keep = (place > 0) | followed
+            head = np.where(start >= 0, node[start], last[3] if last else 0)
+            place = np.where(start >= 0, np.arange(len(token)) - start, np.arange(len(token)) + (last[4] + 1 if last else 0))
+            before = np.concatenate([[last[2] if last else 0], node[:-1]])
+            followed = np.concatenate([~other, [False]])
+            keep = (place > 0) | followed | (part >= 0)
             keep[upto:] = False
             if upto:
-                last = (token[upto - 1], rep[upto - 1], head[upto - 1], place[upto - 1])
-            cols = [token, rep, head, np.where(place > 0, before, rep), place]
+                k = upto - 1
+                last = (token[k], part[k], node[k], head[k], place[k])
+            cols = [token, node, head, np.where(place > 0, before, node), place]
             return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(np.int64)) for c in cols], names=names)
 
         for batch in batches:
@@ -214,13 +228,13 @@ def shared_tokens(entries: DataFrame) -> DataFrame:
         if carry is not None and len(carry):
             yield decided(carry, len(carry))
 
-    return entries.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(run, LISTED)
+    return entries.repartition("token", "part").sortWithinPartitions("token", "part", "node").mapInArrow(run, LISTED)
 
 
 def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) those that sizes and both count sketches allow to be linked."""
     for name, kind, buckets in (("sketch", "<u2", BUCKETS), ("wide", "<u1", WIDE)):
-        pairs = _within(pairs, sets.select("rep", "n", F.col(name).alias("sketch")), percent, kind, buckets)
+        pairs = _within(pairs, sets.select("node", "n", F.col(name).alias("sketch")), percent, kind, buckets)
     return pairs
 
 
@@ -234,8 +248,8 @@ def _within(pairs: DataFrame, sets: DataFrame, percent: int, kind: str, buckets:
             keep = np.abs(p - q).sum(axis=1) <= m + n - 2 * needed_overlap(m, n, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("p"))
-    right = sets.select(F.col("rep").alias("b"), "n", F.col("sketch").alias("q"))
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("p"))
+    right = sets.select(F.col("node").alias("b"), "n", F.col("sketch").alias("q"))
     sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
     return sized.select("a", "b", "m", "n", "p", "q").mapInArrow(run, "a long, b long")
 
@@ -282,33 +296,31 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 def linear_candidates(lists: DataFrame) -> DataFrame:
     """Of every list: each entry with the first entry and with its predecessor."""
-    both = lists.filter("place > 0").select("rep", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
-    return both.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-
+    both = lists.filter("place > 0").select("node", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
+    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-def long_lists(lists: DataFrame) -> DataFrame:
-    """Entries (token, rep) of lists of four or more; shorter lists have no pairs but the linear ones."""
-    long = lists.filter("place = 3").select("token")
-    return lists.select("token", "rep").join(long, "token", "left_semi")
 
+def open_candidates(lists: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of different roots in one list that size and sketch allow.  ``lists``: token, node, root; ``sets``: node, n, wide.
 
-def open_candidates(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots in one list that size and sketch allow.  ``lists``: token, rep, root; ``sets``: rep, n, wide."""
-    lists = saved(lists, "join-lists")
-    spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    wide = lists.join(spread.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "token").join(sets.select("rep", "n", F.col("wide").alias("sketch")), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    Lists of fewer than four have no pairs but the linear ones.  Of longer ones only those with several roots are
+    dealt out, a list of more than ``block`` entries in pairs of blocks.
+    """
+    spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi and many >= 4")
+    sized = spread.select("token", F.ceil(F.col("many") / block).cast("int").alias("blocks"))
+    wide = skewed_join(lists, sized, ["token"]).join(sets.select("node", "n", F.col("wide").alias("sketch")), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = wide.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "n", "root", "sketch")
+    cells = placed.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "n", "root", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["token", "i", "j"]):
             if len(t) < 2:
                 continue
-            rep, n, root, own = (t.column(c).to_numpy() for c in ("rep", "n", "root", "own"))
+            node, n, root, own = (t.column(c).to_numpy() for c in ("node", "n", "root", "own"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u1").reshape(len(t), WIDE).astype(np.int16)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            a, b = _pairs(rep, n, root, sketch, int((own == i).sum()) if i != j else None, percent)
+            a, b = _pairs(node, n, root, sketch, int((own == i).sum()) if i != j else None, percent)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -316,51 +328,62 @@ def open_candidates(lists: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return found.distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) of doc_ids whose whole shingle sets are linked.
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Pairs (a, b) of nodes whose whole shingle sets are linked.  ``sets``: node, digest and the least doc_id that has the set.
 
-    The scan computes sets only of documents that a bit filter of fixed size lets through (it may let others
-    through, never holds one back), so texts are not shuffled; only the sets of candidates are.
+    The scan computes sets only of documents whose id a bit filter lets through (it may let others through, never
+    holds one back), so texts are not shuffled; only the sets of candidates are.  The filter has 16 bits per candidate, up
+    to 2**31 bits (256 MB); beyond that it lets more sets through, which the join drops.
     """
     spark = docs.sparkSession
     pairs = saved(pairs, f"{name}-pairs")
-    bits = 1 << 23
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    at = F.pmod(F.col("id"), F.lit(bits))
-    words64 = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("b")).collect()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = saved(nodes.join(sets.select("node", "digest", "low"), "node"), f"{name}-wanted")
+    bits = 1 << min(31, max(16, (16 * wanted.count()).bit_length()))
+    at = F.pmod(F.col("low"), F.lit(bits))
+    words64 = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("b"))
     filter_ = np.zeros(bits // 64, np.int64)
-    for r in words64:
+    # as many rows as the filter has words, fetched a partition at a time
+    for r in words64.toLocalIterator():
         filter_[r["w"]] = r["b"]
     shared = spark.sparkContext.broadcast(filter_)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
             where = ids % bits
             keep = ((shared.value[where // 64] >> (where % 64)) & 1).astype(bool) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(keep))
             for own, texts in chunks(lazily(batch.column("doc_id")), lazily(batch.column("text"))):
-                found = [s.tobytes() for s in shingle_sets(texts, words)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.binary())], names=["id", "s"])
+                sets_ = list(shingle_sets(texts, words))
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets_]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets_], pa.binary())], names=["low", "digest", "s"])
 
-    sets_ = docs.mapInArrow(sets, "id long, s binary").join(wanted, "id").dropDuplicates(["id"])
-    known = saved(sets_, f"{name}-sets")
+    # rows that repeat id and text become one before they are shuffled
+    each = docs.mapInArrow(found, "low long, digest binary, s binary").groupBy("digest", "low").agg(F.first("s").alias("s"))
+    known = saved(each.join(wanted, ["digest", "low"]).select("node", "s"), f"{name}-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            for x, y in zip(lazily(batch.column("x")), lazily(batch.column("y")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(known.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    joined = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return saved(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}-links")
 
 
-def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: float = 8.0) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: float = 8.0, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (least doc_id of its group)."""
+    out = _grouped(docs, words, percent, list_cost, block)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, list_cost: float, block: int) -> DataFrame:
+    """doc_id, n, digest (of the shingle set), component_id."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -369,30 +392,39 @@ def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: f
     each = rows.filter("kind = 0").select("doc_id", "n", "digest")
     histogram = {r["n"]: r["count"] for r in each.filter(F.col("n").between(1, MAX_LIGHT)).groupBy("n").count().collect()}
     boundary = choose_boundary(histogram, percent, list_cost)
-    reps = saved(each.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "join-reps")
     signed = signatures(docs, words, percent, counts, boundary)
-    # of rows with equal sets one stays (any: their signatures are equal)
-    sets = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"))
-    sets = saved(sets.drop("digest"), "join-sets")
+    # of rows with equal sets one stays (any: their signatures are equal); it gets a number when it is written
+    one = signed.groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "sketch", "wide", "prefix", "subsets")])
+    sets = saved(one.withColumn("node", F.monotonically_increasing_id()), "join-sets")
     light = saved(light_links(sets, percent), "join-light")
-    entries = sets.select(F.explode("prefix").alias("token"), "rep")
-    lists = saved(shared_tokens(entries), "join-shared")
-    first = verified(near_sketches(linear_candidates(lists), sets, percent), docs, words, percent, "join-linear")
+    entries = saved(sets.select(F.explode("prefix").alias("token"), "node"), "join-entries")
+    lists = saved(shared_tokens(entries, block), "join-shared")
+    first = verified(near_sketches(linear_candidates(lists), sets, percent), docs, sets, words, percent, "join-linear")
     roots = components(light.unionByName(first), "join-first")
-    rooted = long_lists(lists).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    second = verified(open_candidates(rooted, sets, percent), docs, words, percent, "join-open")
+    rooted = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    second = verified(open_candidates(saved(rooted, "join-lists"), sets, percent, block), docs, sets, words, percent, "join-open")
     groups = components(light.unionByName(first).unionByName(second), "join-all")
-    leader = reps.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    out = each.join(leader, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    member = saved(groups.join(sets.select("node", "digest", "low"), "node"), "join-member")
+    least = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    grouped = skewed_join(member, least, ["root"]).select("digest", "component_id")
+    alone = sets.join(member.select("node"), "node", "left_anti").select("digest", F.col("low").alias("component_id"))
+    leader = saved(grouped.unionByName(alone), "join-leader")
+    # blank documents and those without an id share digests but no group
+    inside = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = skewed_join(each.filter(inside), leader, ["digest"]).select("doc_id", "n", "digest", "component_id")
+    return out.unionByName(each.filter(~inside).withColumn("component_id", F.col("doc_id")))
+
 
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, list_cost: float = 8.0, block: int = BLOCK) -> DataFrame:
+    """Pipeline stage: of each group the documents with the least doc_id stay, unchanged.
 
-def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
-    """Pipeline stage: of each group the document with the least doc_id stays, unchanged; rows that repeat a doc_id share its fate."""
+    Rows that repeat a doc_id share its fate: all stay if one of them does, so a row is never lost to a namesake.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    groups = near_copies(docs, **params)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*columns)
+    gone = free_name(docs, "gone")
+    groups = saved(_grouped(docs, words, percent, list_cost, block).filter("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("copy")), "join-verdicts")
+    lost = groups.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).filter("copy").select(F.col("doc_id").alias(gone))
+    return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti").select(*columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
