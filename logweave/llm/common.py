@@ -103,14 +103,12 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     Rows of keys with at least 1/``share`` of all rows meet their rows of ``right`` (at most ``share`` of them) by
     broadcast and stay where they are; the rest is an ordinary join.  ``left`` is read twice more, so it should be a table.
     """
-    spark = left.sparkSession
     total = left.count()
     heavy = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least, -(-total // share))).select(*keys)
-    rows = heavy.collect()
-    if not rows:
+    hot = saved(heavy.coalesce(1), "hot-keys")
+    if not hot.take(1):
         return left.join(right, keys, how)
-    hot = spark.createDataFrame(rows, heavy.schema)
-    few = spark.createDataFrame(right.join(F.broadcast(hot), keys, "left_semi").collect(), right.schema)
+    few = saved(right.join(F.broadcast(hot), keys, "left_semi").coalesce(1), "hot-rows")
     usual = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
     return usual.unionByName(left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how))
 

@@ -11,8 +11,8 @@ what is broadcast is bounded by that parameter; with several slices the document
 
 Defined cases: null or empty texts have no words, no hits and are not contaminated; a null item_id stands in no
 list of items, its windows hit; items without words are ignored; repeated items count as often as they have
-different ids; repeated rows are judged alike and all returned; an empty benchmark hits nothing; extra columns are kept by
-``drop_contaminated``.
+different ids; repeated rows are judged alike and all returned; an empty benchmark hits nothing; extra columns, whatever
+their names, are kept by ``drop_contaminated`` and ``cut_contaminated``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, ship_package, table
+from .common import free_name, saved, ship_package, table
 from .textops import Words, chunks, lazily
 
 WINDOW = 13
@@ -270,16 +270,17 @@ def search_shard(texts: list[bytes], part: Slice) -> list[tuple[int, int, list[s
     return out
 
 
-def _search(docs: DataFrame, part: Slice) -> DataFrame:
+def _search(docs: DataFrame, part: Slice, name: str = "found") -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(part)
     fields = docs.schema.fields
-    schema = T.StructType([*fields, T.StructField("found", RESULT)])
+    schema = T.StructType([*fields, T.StructField(name, RESULT)])
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))])
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(at).to_pylist()
             number: dict[str | None, int] = {}
             which = [number.setdefault(t, len(number)) for t in texts]
             found = []
@@ -291,36 +292,39 @@ def _search(docs: DataFrame, part: Slice) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, slice_words: int = 4_000_000) -> DataFrame:
-    """``docs`` (with text) with ``found``: n_words, n_hit, items (sorted), spans (UTF-8 byte offsets, merged)."""
+def contamination(docs: DataFrame, bench: DataFrame, slice_words: int = 4_000_000, name: str = "found") -> DataFrame:
+    """``docs`` (with text) with ``name`` (not a column yet): n_words, n_hit, items (sorted), spans (UTF-8 byte offsets, merged)."""
     ship_package(docs.sparkSession)
     windows = saved(bench_windows(bench), "decon-windows")
     total = windows.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // slice_words))
     if n == 1:
-        return _search(docs, Slice([(r["item"], np.frombuffer(r["words"], np.uint64)) for r in windows.collect()]))
+        return _search(docs, Slice([(r["item"], np.frombuffer(r["words"], np.uint64)) for r in windows.collect()]), name)
     # several slices: each is searched for and written; then the parts of a row meet by its number
-    keyed = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "decon-docs")
+    row = free_name(docs, "row_number")
+    keyed = saved(docs.withColumn(row, F.monotonically_increasing_id()), "decon-docs")
     parts = None
     for i in range(n):
         rows = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == i).collect()
-        got = saved(_search(keyed.select("_row", "text"), Slice([(r["item"], np.frombuffer(r["words"], np.uint64)) for r in rows])).select("_row", "found"), "decon-slice")
+        got = saved(_search(keyed.select(F.col(row).alias("row"), "text"), Slice([(r["item"], np.frombuffer(r["words"], np.uint64)) for r in rows])).select("row", "found"), "decon-slice")
         parts = got if parts is None else parts.unionByName(got)
-    whole = parts.groupBy("_row").agg(F.max("found.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.spans")))).alias("spans"))
-    out = keyed.join(whole, "_row")
-    fields = [f for f in docs.schema.fields]
-    schema = T.StructType([*fields, T.StructField("found", RESULT)])
+    whole = parts.groupBy("row").agg(F.max("found.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.spans")))).alias("spans"))
+    whole = whole.select(F.col("row").alias(row), F.struct("n_words", "items", "spans").alias(name))
+    out = keyed.join(whole, row).drop(row)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, RESULT)])
+    at = out.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))])
         for batch in batches:
             rows = []
-            for text, n_words, items, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "items", "spans")), strict=True):
+            for text, got in zip(lazily(batch.column(at)), lazily(batch.column(len(batch.columns) - 1)), strict=True):
                 w = Words([(text or "").encode("utf-8", "surrogatepass")], word_bytes())
                 hit = np.zeros(len(w.hashes), bool)
-                for s in spans:
+                for s in got["spans"]:
                     hit |= (w.starts >= s["begin"]) & (w.ends <= s["end"])
-                rows.append({"n_words": n_words, "n_hit": int(hit.sum()), "items": items, "spans": [{"begin": a, "end": b} for a, b in merge_spans(hit, w.starts, w.ends)]})
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]))], names=schema.names)
+                rows.append({"n_words": got["n_words"], "n_hit": int(hit.sum()), "items": got["items"], "spans": [{"begin": a, "end": b} for a, b in merge_spans(hit, w.starts, w.ends)]})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=schema.names)
 
     return out.mapInArrow(run, schema)
 
@@ -340,10 +344,27 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """Pipeline stage: documents that are not contaminated, unchanged."""
-    found = contamination(docs, bench)
-    return found.filter(~is_contaminated(F.col("found.n_hit"), F.col("found.n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "found")
+    found = contamination(docs, bench, name=name, **params)
+    return found.filter(~is_contaminated(F.col(f"{name}.n_hit"), F.col(f"{name}.n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_contaminated(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
+    """``docs`` with the merged removal spans cut out of the texts; no document is dropped."""
+    name = free_name(docs, "found")
+    found = contamination(docs, bench, name=name, **params)
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_spans(t, [(s["begin"], s["end"]) for s in got["spans"]]) for t, got in zip(lazily(batch.column(at)), lazily(batch.column(len(batch.columns) - 1)), strict=True)]
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return found.mapInArrow(run, schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

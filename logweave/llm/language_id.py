@@ -6,8 +6,8 @@ aggregation over a bounded sample of labelled rows, ``max_rows`` per language.
 rows of the matrix are gathered per n-gram and summed per text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a text is lower-cased, and every
-run of non-letters is one space; rows with null language or text do not train; a null doc_id hashes like an
-empty one; if nothing can be learned every text is ``und``; repeated rows are scored alike; extra columns are kept.
+run of non-letters is one space; rows with null language or text do not train; equal posteriors give the first
+language by name; a null doc_id hashes like an empty one; if nothing can be learned every text is ``und``; repeated rows are scored alike; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship_package, table
+from .common import free_name, ship_package, table
 from .textops import mixed
 
 UND = "und"
 BUCKETS = 1 << 14
 MAX_N = 3
 CHUNK_CHARS = 150_000
-#: n-grams beyond this many add no confidence: the score is a softmax of the mean log-probability times at most this
+#: n-grams beyond this many add no confidence to the score; all of them decide the language
 EVIDENCE = 40
 _folded: list = []
 
@@ -105,10 +105,15 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int, max_n: int) -> Itera
 
 
 class Model:
-    """Languages and log probabilities (buckets + prior row) as one float32 matrix of fixed size."""
+    """Languages, log probabilities of their n-grams (a float32 matrix of fixed size) and log priors.
 
-    def __init__(self, langs: list[str], weights: np.ndarray, max_n: int):
-        self.langs, self.weights, self.max_n = langs, weights, max_n
+    The language is the one of the largest posterior.  The score is the softmax of the mean log-probability of a
+    text's n-grams, times their number but at most ``evidence`` (long texts would all score 1), plus the prior.
+    """
+
+    def __init__(self, langs: list[str], weights: np.ndarray, max_n: int, prior: np.ndarray | None = None, evidence: int = EVIDENCE):
+        self.langs, self.weights, self.max_n, self.evidence = langs, weights, max_n, evidence
+        self.prior = np.zeros(len(langs)) if prior is None else prior
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
@@ -116,19 +121,20 @@ class Model:
             bucket, doc, letters = grams(part, self.weights.shape[0], self.max_n)
             n = np.bincount(doc, minlength=len(part))
             sums = np.stack([np.bincount(doc, weights=self.weights[bucket, j], minlength=len(part)) for j in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(part), 0))
-            z = sums / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
+            best = np.argmax(sums + self.prior, axis=1) if self.langs else np.zeros(len(part), np.int64)
+            z = sums / np.maximum(n, 1)[:, None] * np.minimum(n, self.evidence)[:, None] + self.prior
             for i in range(len(part)):
                 if not letters[i] or not self.langs:
                     langs.append(UND)
                     scores.append(0.0)
                     continue
                 e = np.exp(z[i] - z[i].max())
-                langs.append(self.langs[int(np.argmax(z[i]))])
-                scores.append(float(e.max() / e.sum()))
+                langs.append(self.langs[int(best[i])])
+                scores.append(float(e[best[i]] / e.sum()))
         return langs, scores
 
 
-def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = BUCKETS, max_n: int = MAX_N, smoothing: float = 0.5) -> Model:
+def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = BUCKETS, max_n: int = MAX_N, smoothing: float = 0.5, evidence: int = EVIDENCE) -> Model:
     """Learn from ``docs(doc_id, text, lang)``: of each language about ``max_rows`` rows, those with the least hash of the id.
 
     The bound on training rows is the only sampling; ``max_rows`` x languages rows are read at most (in expectation).
@@ -136,7 +142,8 @@ def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = BUCKETS, max_n: in
     ship_package(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count()
-    share = {r["lang"]: min(1.0, max_rows / r["count"]) for r in counts.collect()}
+    seen = {r["lang"]: r["count"] for r in counts.collect()}
+    share = {lang: min(1.0, max_rows / many) for lang, many in seen.items()}
     if not share:
         return Model([], np.zeros((buckets, 0), np.float32), max_n)
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
@@ -147,21 +154,23 @@ def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = BUCKETS, max_n: in
     langs = sorted(share)
     n = np.zeros((buckets, len(langs)))
     n[rows["bucket"].to_numpy(np.int64), [langs.index(x) for x in rows["lang"]]] = rows["n"]
-    return Model(langs, np.log((n + smoothing) / (n + smoothing).sum(axis=0)).astype(np.float32), max_n)
+    many = np.array([seen[x] for x in langs], float)
+    return Model(langs, np.log((n + smoothing) / (n + smoothing).sum(axis=0)).astype(np.float32), max_n, np.log(many / many.sum()), evidence)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``; whole texts are scored."""
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with the columns ``lang`` and ``score`` (replaced if they exist); whole texts are scored."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    kept = [f for f in docs.schema.fields if f.name.lower() not in (lang.lower(), score.lower())]
+    schema = T.StructType([*kept, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    at = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = shared.value.score([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            langs, scores = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
@@ -171,10 +180,10 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents whose language is not ``und`` and was predicted with at least ``min_score``."""
-    columns = docs.columns
-    out = identify(docs, fit(learnable(docs)))
-    return out.filter((F.col("lang_pred") != UND) & (F.col("lang_score") >= min_score)).select(*[F.col(f"`{c}`") for c in columns])
+    """Pipeline stage: documents whose language is not ``und`` and was predicted with at least ``min_score``; all columns stay."""
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    out = identify(docs, fit(learnable(docs)), lang, score)
+    return out.filter((F.col(lang) != UND) & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

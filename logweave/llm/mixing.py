@@ -2,13 +2,13 @@
 
 Every document has a 60-bit hash.  For a source and a word budget the mix takes the documents whose
 hash lies below a threshold.  The threshold is found from histograms: words are summed by source and
-hash bucket, the bucket in which the running sum passes the budget is refined, and so on down to one
+hash bucket, the bucket in which the running sum passes the budget is refined, and so on until it holds one
 hash; documents are never sorted.  Thresholds of one source are nested, so a smaller budget takes a
 subset of what a larger one takes.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; an empty
 table gives an empty result; rows with equal doc_id and text share a hash and are taken together; a
-null doc_id is hashed as an empty string.  Extra columns are ignored by ``plan_mix`` and kept by ``mix``.
+null doc_id is hashed as an empty string.  Extra columns, whatever their names, are ignored by ``plan_mix`` and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, saved, table
+from .common import free_name, ranked, saved, skewed_join, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
@@ -67,29 +67,27 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     ``sized(source, size, h)``, ``budgets(source, epoch, budget double)``.  Documents at the last hash are
     taken if that brings the sum nearer to the budget.
     """
-    spark = sized.sparkSession
     # state: what is below prefix is taken (cum words), the boundary lies in the bucket with this prefix
     state = budgets.withColumn("cum", F.lit(0).cast("long")).withColumn("prefix", F.lit(0).cast("long"))
-    done = None
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - LEVEL_BITS * level
         bucket = F.shiftright("h", shift)
+        sums = (F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         if level == 1:
-            inside = sized.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("words"))
-            near = state.alias("s").join(inside.alias("i"), F.col("s.source").eqNullSafe(F.col("i.source"))).select("s.*", "i.b", "i.words")
+            inside = sized.groupBy("source", bucket.alias("b")).agg(*sums)
+            near = state.alias("s").join(inside.alias("i"), F.col("s.source").eqNullSafe(F.col("i.source"))).select("s.*", "i.b", "i.words", "i.lo", "i.hi")
         else:
             rows = sized.alias("d").join(state.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.shiftright("d.h", shift + LEVEL_BITS) == F.col("s.prefix")))
-            near = rows.groupBy("s.source", "s.epoch", "s.budget", "s.cum", "s.prefix", F.shiftright("d.h", shift).alias("b")).agg(F.sum("d.size").alias("words"))
+            near = rows.select("s.source", "s.epoch", "s.budget", "s.cum", bucket.alias("b"), "d.size", "d.h").groupBy("source", "epoch", "budget", "cum", "b").agg(*sums)
         order = Window.partitionBy("source", "epoch").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         run = near.withColumn("upto", F.col("cum") + F.sum("words").over(order)).withColumn("below", F.col("upto") - F.col("words"))
         # the boundary bucket: the first whose running sum passes the budget; none if the whole source fits
-        hit = run.filter(F.col("upto") > F.col("budget")).groupBy("source", "epoch").agg(F.min(F.struct("b", "below", "words", "budget")).alias("x"))
-        state = saved(hit.select("source", "epoch", F.col("x.budget").alias("budget"), F.col("x.below").alias("cum"), F.col("x.b").alias("prefix"), F.col("x.words").alias("words")), "mix-level")
-        if level == HASH_BITS // LEVEL_BITS:
-            take = F.col("budget") - F.col("cum") >= F.col("cum") + F.col("words") - F.col("budget")
-            done = state.select("source", "epoch", F.when(take, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("cut"))
-        else:
-            state = state.drop("words")
+        hit = run.filter(F.col("upto") > F.col("budget")).groupBy("source", "epoch").agg(F.min(F.struct("b", "below", "words", "budget", "lo", "hi")).alias("x"))
+        state = saved(hit.select("source", "epoch", F.col("x.budget").alias("budget"), F.col("x.below").alias("cum"), F.col("x.b").alias("prefix"), F.col("x.words").alias("words"), "x.lo", "x.hi"), "mix-level")
+        if not state.filter("lo <> hi").take(1):  # every boundary bucket holds one hash
+            break
+    take = F.col("budget") - F.col("cum") >= F.col("cum") + F.col("words") - F.col("budget")
+    done = state.select("source", "epoch", F.when(take, F.col("lo") + 1).otherwise(F.col("lo")).alias("cut"))
     rest = budgets.select("source", "epoch")
     cuts = rest.alias("r").join(done.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.epoch") == F.col("c.epoch")), "left")
     return cuts.select("r.source", "r.epoch", F.coalesce("c.cut", F.lit(1 << HASH_BITS)).alias("cut"))
@@ -110,20 +108,33 @@ def copies(h: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: h < c))
 
 
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with source) with its source's row of the plan; sources may be many, and one may have any share of the rows."""
+    rows, plan = rows.withColumn(key, _source_key(F.col("source"))), plan.withColumn(key, _source_key(F.col("source"))).drop("source")
+    if plan.count() <= 100_000:  # some 10 MB
+        return rows.join(F.broadcast(plan), key)
+    return skewed_join(rows, plan, [key])
+
+
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed documents with the columns of ``docs``: each row as often as the mix takes it."""
     _, plan = plan_mix(docs, **params)
-    plan = plan.select(F.col("source").alias("_source"), F.col("cuts").alias("_cuts"))
-    n = copies(doc_hash(F.col("doc_id"), F.col("text")), F.col("_cuts"))
-    out = docs.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_n", n).filter("_n > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, cuts, times = (free_name(docs, x) for x in ("source_key", "source_cuts", "times_taken"))
+    out = _with_plan(docs, plan.select("source", F.col("cuts").alias(cuts)), key)
+    n = copies(doc_hash(F.col("doc_id"), F.col("text")), F.col(cuts))
+    out = out.withColumn(times, n).filter(F.col(times) > 0)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, plan = plan_mix(table(spark, sf_dir, "documents"))
-    joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    n = copies(F.col("d.h"), F.col("p.cuts"))
-    return joined.select("d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * n).cast("long").alias("taken"), n.alias("epochs"))
+    joined = _with_plan(sized, plan, "source_key")
+    n = copies(F.col("h"), F.col("cuts"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * n).cast("long").alias("taken"), n.alias("epochs"))
 
 
 OP1_SQL = r"""

@@ -187,10 +187,9 @@ def shared_tokens(entries: DataFrame, block: int) -> DataFrame:
     of more than ``block`` are dealt out to several tasks in parts with firsts of their own (that only makes the linear
     candidates differ).
     """
-    spark = entries.sparkSession
     total = entries.count()
-    hot = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(block, total // 1000)).collect()  # 1,000 rows at most
-    parts = spark.createDataFrame([(r["token"], -(-r["n"] // block)) for r in hot], "token long, parts long")
+    hot = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(block, total // 1000))
+    parts = saved(hot.select("token", F.ceil(F.col("n") / block).cast("long").alias("parts")).coalesce(1), "join-hot")  # 1,000 rows at most
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1))
     entries = entries.join(F.broadcast(parts), "token", "left").select("token", "node", part.alias("part"))
 
