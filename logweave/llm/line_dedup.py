@@ -6,7 +6,8 @@ merged by aggregation.  Where a sketch's estimate lies near the threshold, the s
 
 Defined cases: a null text has no lines; a null source is no site; lines are compared after trimming
 spaces, blank lines are neither counted nor removed; repeated rows are cleaned alike and all returned; an
-empty table gives an empty result; extra columns are kept by ``strip_boilerplate``.
+empty table gives an empty result; extra columns, whatever their names, are kept by ``strip_boilerplate``, whose own two
+columns get underscores behind their names where these are taken.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, saved, skewed_join, table
 
 
 def _lines(text: Column) -> Column:
@@ -33,11 +34,10 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, lg_k: int = 12, margin: flo
     A sketch of 2**lg_k registers errs by about 1.04 / 2**(lg_k / 2); estimates within ``margin`` (or 2) of
     the threshold are counted exactly, so ``margin`` must exceed a few such errors.
     """
-    lines = line_sites(docs)
-    site = F.xxhash64("source")
-    several = saved(lines.groupBy("h").agg(F.min(site).alias("lo"), F.max(site).alias("hi")).filter("lo <> hi").select("h"), "line-several")
-    # one row per line and site before sketching: hot lines shrink to their sites map-side
-    pairs = saved(lines.join(several, "h", "left_semi").distinct(), "line-pairs")
+    # one row per line and site: hot lines shrink to their sites map-side, before anything is dealt out by line
+    all_pairs = saved(line_sites(docs).distinct(), "line-sites")
+    several = all_pairs.groupBy("h").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).filter("lo <> hi").select("h")
+    pairs = saved(all_pairs.join(several, "h", "left_semi"), "line-pairs")
     est = saved(pairs.groupBy("h").agg(F.hll_sketch_agg("source", F.lit(lg_k)).alias("sketch")).select("h", F.hll_sketch_estimate("sketch").alias("sites")), "line-estimates")
     slack = max(2, int(min_sites * margin))
     near = est.filter(F.col("sites").between(min_sites - slack, min_sites + slack)).select("h")
@@ -45,21 +45,27 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, lg_k: int = 12, margin: flo
     return est.filter(F.col("sites") > min_sites + slack).select("h").unionByName(exact.select("h"))
 
 
-def strip_boilerplate(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with text cleaned, plus n_lines (non-blank) and n_removed."""
+def strip_boilerplate(docs: DataFrame, broadcast_lines: int = 500_000, **params) -> DataFrame:
+    """``docs`` with text cleaned, plus n_lines (non-blank) and n_removed.
+
+    Up to ``broadcast_lines`` boilerplate lines are broadcast (8 bytes each); more are joined, hot ones apart.
+    """
     bad = saved(boilerplate(docs, **params), "line-boilerplate")
-    key = F.xxhash64("doc_id", "text")
+    key, hit, before, lines_name, removed_name = (free_name(docs, x) for x in ("row_key", "bad_lines", "lines_before", "n_lines", "n_removed"))
+    row = F.xxhash64("doc_id", "text")
     hashes = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    own = docs.filter(F.col("text").isNotNull()).select(key.alias("_k"), F.explode(hashes).alias("h"))
-    hits = own.join(bad, "h", "left_semi").groupBy("_k").agg(F.collect_set("h").alias("_bad"))
-    out = docs.withColumn("_k", key).join(hits, "_k", "left")
+    own = docs.filter(F.col("text").isNotNull()).select(row.alias(key), F.explode(hashes).alias("h"))
+    few = bad.count() <= broadcast_lines
+    met = own.join(F.broadcast(bad), "h") if few else skewed_join(saved(own, "line-own"), bad, ["h"])
+    hits = met.groupBy(key).agg(F.collect_set("h").alias(hit))
+    out = docs.withColumn(key, row).join(hits, key, "left")
     full = lambda x: F.trim(x) != ""
-    keep = F.filter(_lines(F.col("text")), lambda x: F.col("_bad").isNull() | ~full(x) | ~F.array_contains(F.col("_bad"), F.xxhash64(F.trim(x))))
+    keep = F.filter(_lines(F.col("text")), lambda x: F.col(hit).isNull() | ~full(x) | ~F.array_contains(F.col(hit), F.xxhash64(F.trim(x))))
     n = F.coalesce(F.size(F.filter(_lines(F.col("text")), full)), F.lit(0))
-    kept = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    out = out.withColumn("_n", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("text", kept)
+    kept = F.when(F.col(hit).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    out = out.withColumn(before, F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("text", kept)
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(_lines(F.col("text")), full)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_n").alias("n_lines"), (F.col("_n") - left).alias("n_removed"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(before).alias(lines_name), (F.col(before) - left).alias(removed_name))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, range_bounds, saved, scratch_path, ship_package, table
+from .common import bucket_of, range_bounds, saved, scratch_path, ship_package, skewed_join, table
+from .textops import lazily
 
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, first_page long, last_page long, n_records long, n_bytes long, sha256 string"
@@ -106,15 +107,20 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, leve
     store, base = pafs.FileSystem.from_uri(folder)
     kind = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("first_page", pa.int64()), ("last_page", pa.int64()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
     out: _File | None = None
-    number, last = 0, (object(), "", 0)
+    number, last, told = 0, (object(), "", 0), (object(), "", None)
     done: list[dict] = []
     for batch in batches:
-        for i in range(batch.num_rows):
-            page_id, url, html, digest, refers, copies, shard = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "digest", "refers", "copies", "shard"))
+        columns = [lazily(batch.column(c), 50) for c in ("page_id", "url", "html", "digest", "refers", "copies", "shard", "kind")]
+        for page_id, url, html, digest, refers, copies, shard, kind_of in zip(*columns, strict=True):
+            if kind_of == 0:
+                told = (page_id, digest, refers)
+                continue
+            copies = told[:2] == (page_id, digest)
+            refers = told[2] if copies else None
             payload = (html or "").encode("utf-8", "surrogatepass")
             copy = last[2] + 1 if last[:2] == (page_id, digest) else 0
             last = (page_id, digest, copy)
-            revisit = bool(copies) and not (copy == 0 and page_id == refers)
+            revisit = copies and not (copy == 0 and page_id == refers)
             data = gzip_member(record_bytes(page_id, url, payload, refers, revisit, copy, date), level)
             if out is not None and (out.shard != shard or out.size + len(data) > file_bytes and out.records):
                 done.append(out.close())
@@ -131,7 +137,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, leve
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, rows_per_shard: int = 4096, min_revisit_bytes: int = 0, level: int = 6, date: str = DATE) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as archives into ``folder`` (a URI that pyarrow's file systems open) and return the manifest.
 
-    Two shuffles: narrow rows by digest, then whole rows by page_id.
+    Shuffles: sizes and ids by digest, the verdicts of repeated payloads by page_id and digest, and whole rows once, by page_id,
+    together with their verdicts.
     """
     spark = pages.sparkSession
     ship_package(spark)
@@ -139,15 +146,18 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, rows_p
 
     store, base = pafs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    repeated = rows.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("refers"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    repeated = saved(repeated, "warc-repeated")
-    total = rows.count()
-    bounds = range_bounds(rows.select("page_id"), [F.col("page_id")], "page_id", max(rows_per_shard, -(-total // 20_000)), "warc-ids")
-    shard = F.when(F.col("page_id").isNull(), 0).otherwise(bucket_of(F.col("page_id"), bounds)).cast("int")
-    joined = rows.join(repeated, "digest", "left").withColumn("shard", shard)
-    narrow = joined.select("page_id", "url", "html", "digest", "refers", "copies", "shard")
-    dealt = narrow.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
+    narrow = saved(rows.select("page_id", "digest", F.octet_length(F.coalesce("html", F.lit(""))).alias("size")), "warc-narrow")
+    able = narrow.filter(F.col("size") >= min_revisit_bytes)
+    repeated = saved(able.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "warc-repeated")
+    total = narrow.count()
+    bounds = range_bounds(narrow.select("page_id"), [F.col("page_id")], "page_id", max(rows_per_shard, -(-total // 20_000)), "warc-ids")
+    shard = F.when(F.col("page_id").isNull(), 0).otherwise(bucket_of(F.col("page_id"), bounds)).cast("int").alias("shard")
+    # a verdict goes before the pages that it is about, so pages are dealt out by page_id only, however many share a payload
+    verdicts = skewed_join(able.select("page_id", "digest"), repeated, ["digest"]).distinct()
+    heads = verdicts.select(shard, "page_id", "digest", F.lit(0).alias("kind"), "refers", "copies", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    wide = rows.select(shard, "page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers"), F.lit(None).cast("long").alias("copies"), "url", "html")
+    dealt = heads.unionByName(wide).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
     manifest = dealt.mapInArrow(lambda b: _write(b, folder, file_bytes, level, date), MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")
     return spark.read.parquet(f"{folder}/_manifest")
