@@ -78,19 +78,30 @@ def per_turn(rows: DataFrame, stream: str, order: str, limit: int = 128) -> Data
     return by_count(rows, stream, order, limit).withColumnRenamed("batch", "turn")
 
 
-def backoff_ms(short_runs: Column, base: int = 500, most: int = 2000) -> Column:
-    return F.least(F.lit(most).cast("double"), base * F.pow(F.lit(2.0), short_runs)).cast("long")
+def reconnect_delays(closed: DataFrame, peer: str = "peer", order: str = "seq", lived: str = "lived_ms", long_ms: int = 10_000, base: int = 500, most: int = 2000) -> DataFrame:
+    """Delay before the next attempt, for every connection that closed: doubles up to ``most``; one that lived ``long_ms`` starts anew at ``base``."""
+    w = Window.partitionBy(peer).orderBy(order)
+    rows = closed.withColumn("_island", F.sum((F.col(lived) >= long_ms).cast("int")).over(w))
+    n = F.row_number().over(Window.partitionBy(peer, "_island").orderBy(order)) - 1
+    doubled = F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), n)).cast("long")
+    return rows.withColumn("delay_ms", doubled).drop("_island")
 
 
-def reconnect_delays(attempts: DataFrame, peer: str = "peer", order: str = "seq", lived: str = "lived_ms", short_ms: int = 1000) -> DataFrame:
-    """Delay after each attempt: doubles over consecutive short connections, starts anew after a long one."""
-    w = Window.partitionBy(peer).orderBy(order)
-    island = F.sum((F.col(lived) >= short_ms).cast("int")).over(w)
-    run = F.row_number().over(Window.partitionBy(peer, "_island").orderBy(order)) - 1
-    first_is_long = F.first(F.col(lived) >= short_ms).over(Window.partitionBy(peer, "_island").orderBy(order))
-    counted = attempts.withColumn("_island", island).withColumn("_n", run - F.when(first_is_long, 1).otherwise(0))
-    return counted.withColumn("delay_ms", F.when(F.col(lived) >= short_ms, 0).otherwise(backoff_ms(F.col("_n")))).drop("_island", "_n")
+def expired(proposals: DataFrame, now_ms: Column, commit_index: Column, timeout_ms: int = 1000) -> DataFrame:
+    """Proposals (log_index, proposed_ms) that time out: beyond the commit index and at least so old.  Their entries stay in the log."""
+    return proposals.filter((F.col("log_index") > commit_index) & (now_ms - F.col("proposed_ms") >= timeout_ms))
+
+
+def oldest_expired(proposals: DataFrame, now_ms: Column, commit_index: Column, timeout_ms: int = 1000) -> DataFrame:
+    """(n, oldest_index) of the proposals that time out."""
+    return expired(proposals, now_ms, commit_index, timeout_ms).agg(F.count(F.lit(1)).alias("n"), F.min("log_index").alias("oldest_index"))
 
 
-def expired(proposals: DataFrame, now_ms: Column, timeout_ms: int) -> DataFrame:
-    return proposals.filter(now_ms - F.col("proposed_ms") >= timeout_ms)
+def pages(rows: DataFrame, order: str, size: int = 64, block: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``page``: ``size`` rows of ``order`` (a whole number, unique) each; numbered in blocks of ``order``, not in one task."""
+    b = F.floor(F.col(order) / block)
+    per = rows.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = per.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    return rows.withColumn("_b", b).withColumn("_i", inside).join(offsets, "_b").withColumn("page", F.floor((F.col("_o") + F.col("_i")) / size).cast("long")).drop("_b", "_i", "_o")

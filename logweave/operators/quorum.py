@@ -34,16 +34,31 @@ def tally(votes: DataFrame, voters: int) -> DataFrame:
     return got.withColumn("won", F.col("grants") >= voters // 2 + 1)
 
 
-def freshness(contacts: DataFrame, now_ms: Column, window_ms: int = FRESH_MS) -> DataFrame:
-    """Per group how many peers were heard from within the window, and whether that is a quorum."""
-    fresh = F.count_if(now_ms - F.col("last_contact_ms") < window_ms)
-    return contacts.groupBy("group_id").agg(fresh.cast("long").alias("fresh"), F.count(F.lit(1)).alias("peers")).withColumn("quorum", F.col("fresh") >= quorum_size(F.col("peers")))
+def _heard(groups: DataFrame, contacts: DataFrame, at: str, now_ms: Column, window_ms: int) -> DataFrame:
+    """``groups(group_id, leader, members, leader_since_ms)`` with ``fresh``: the leader and the peers whose last ``at`` lies in the window."""
+    last = contacts.groupBy("group_id", "peer").agg(F.max(at).alias("last"))
+    other = last.join(groups.select("group_id", "leader"), "group_id").filter(F.col("peer") != F.col("leader"))
+    fresh = other.groupBy("group_id").agg(F.count_if(now_ms - F.col("last") < window_ms).alias("n"))
+    return groups.join(fresh, "group_id", "left").withColumn("fresh", 1 + F.coalesce("n", F.lit(0))).drop("n")
 
 
-def lease_valid(acks: DataFrame, now_ms: Column, leader_since_ms: Column) -> DataFrame:
-    """A lease holds if the node has led long enough and a quorum acknowledged requests *sent* within the window."""
-    got = freshness(acks.withColumnRenamed("sent_ms", "last_contact_ms"), now_ms)
-    return got.withColumn("lease", F.col("quorum") & (now_ms - leader_since_ms >= LEASE_MS))
+def check_quorum(groups: DataFrame, contacts: DataFrame, now_ms: Column, window_ms: int = FRESH_MS) -> DataFrame:
+    """Per group whether its leader stays: it heard from a quorum of all ``members`` (itself included) within the window.
+
+    Silent peers have no row in ``contacts(group_id, peer, last_contact_ms)``; in the first ``window_ms`` of a leadership
+    and where a quorum is one, nobody is asked.
+    """
+    need = quorum_size(F.col("members"))
+    stays = (need <= 1) | (now_ms - F.col("leader_since_ms") < window_ms) | (F.col("fresh") >= need)
+    return _heard(groups, contacts, "last_contact_ms", now_ms, window_ms).select("group_id", "members", "fresh", stays.alias("stays"))
+
+
+def lease_valid(groups: DataFrame, acks: DataFrame, now_ms: Column, window_ms: int = FRESH_MS, lease_ms: int = LEASE_MS) -> DataFrame:
+    """Per group whether the leader may read under its lease: it has led for ``lease_ms``, and with it a quorum acknowledged
+    requests *sent* within the window."""
+    need = quorum_size(F.col("members"))
+    lease = (now_ms - F.col("leader_since_ms") >= lease_ms) & ((need <= 1) | (F.col("fresh") >= need))
+    return _heard(groups, acks, "sent_ms", now_ms, window_ms).select("group_id", "members", "fresh", lease.alias("lease"))
 
 
 def match_acks(acks: DataFrame, flights: DataFrame, timeout_ms: int = FRESH_MS) -> DataFrame:
@@ -69,10 +84,15 @@ def follow_up(match: Column, next_index: Column, success: Column, acknowledged:
 
 
 def leadership_agreement(samples: DataFrame) -> DataFrame:
-    """Per sample: one leader, all name it and its term."""
-    leaders = F.count_if(F.col("state") == "leader")
-    agg = samples.groupBy("sample").agg(leaders.cast("long").alias("leaders"), F.countDistinct("leader_id").alias("named"), F.countDistinct("term").alias("terms"))
-    return agg.withColumn("agree", (F.col("leaders") == 1) & (F.col("named") == 1) & (F.col("terms") == 1))
+    """Per sample of ``samples(sample, node_id, state, leader_id, term)`` its leader, null unless there is one leader, every
+    node names it and its term, and all others are followers."""
+    is_leader = F.col("state") == "leader"
+    leaders = samples.groupBy("sample").agg(F.count_if(is_leader).alias("leaders"), F.max(F.when(is_leader, F.struct("node_id", "term"))).alias("l"))
+    seen = samples.join(leaders, "sample")
+    role = F.when(F.col("node_id") == F.col("l.node_id"), "leader").otherwise("follower")
+    fits = F.col("leader_id").eqNullSafe(F.col("l.node_id")) & F.col("term").eqNullSafe(F.col("l.term")) & F.col("state").eqNullSafe(role)
+    agg = seen.groupBy("sample").agg(F.max("leaders").alias("leaders"), F.bool_and(fits).alias("fits"), F.max("l.node_id").alias("node_id"))
+    return agg.select("sample", "leaders", F.when((F.col("leaders") == 1) & F.col("fits"), F.col("node_id")).alias("leader"))
 
 
 def replica_agreement(states: DataFrame, replicas: int) -> DataFrame:

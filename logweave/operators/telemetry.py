@@ -70,8 +70,8 @@ def help_text(name: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HELP.items() for x in kv]), name), out)
 
 
-def prometheus(lines: DataFrame, keys: list[str], prefix: str = "raftkv_") -> DataFrame:
-    """One row per exposed metric: keys..., pos, text (HELP, TYPE and value lines)."""
+def prometheus(lines: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """One row per exposed metric: keys..., pos, text (HELP, TYPE and value lines); names start with ``prefix``."""
     name = F.concat(F.lit(prefix), F.col("key"))
     plain = F.concat(F.lit("# HELP "), name, F.lit(" "), help_text(F.col("key")), F.lit("\n# TYPE "), name, F.when(is_counter(F.col("key")), " counter\n").otherwise(" gauge\n"), name, F.lit(" "), F.col("value"), F.lit("\n"))
     one_hot = F.array_join(F.transform(F.array(*map(F.lit, ROLES)), lambda r: F.concat(F.lit(f'{prefix}role{{role="'), r, F.lit('"} '), F.when(r == F.col("value"), "1").otherwise("0"), F.lit("\n"))), "")
@@ -109,3 +109,29 @@ def running_bytes(events: DataFrame, stream: str, order: str) -> DataFrame:
     from pyspark.sql import Window
 
     return events.withColumn("held", F.sum("delta").over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def scrape_response(kind: Column, metrics: Column, health: Column, healthy: Column) -> Column:
+    """The HTTP/1.1 answer to a request of a kind; null while the request is incomplete."""
+    def answer(status: str, body: Column, mime: str = "text/plain; charset=utf-8") -> Column:
+        return F.concat(F.lit(f"HTTP/1.1 {status}\r\nContent-Type: {mime}\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\nConnection: close\r\n\r\n"), body)
+
+    return (
+        F.when(kind == "Ok", answer("200 OK", metrics, "text/plain; version=0.0.4; charset=utf-8"))
+        .when(kind == "Health", F.when(healthy, answer("200 OK", health)).otherwise(answer("503 Service Unavailable", health)))
+        .when(kind == "NotFound", answer("404 Not Found", F.lit("not found\n")))
+        .when(kind == "MethodNotAllowed", answer("405 Method Not Allowed", F.lit("method not allowed\n")))
+        .when(kind == "BadRequest", answer("400 Bad Request", F.lit("bad request\n")))
+    )
+
+
+def health_fields(body: Column) -> Column:
+    """Struct (up, node_id, state, term, leader_id, storage_healthy) of a health text."""
+    field = lambda name: F.regexp_extract(body, rf"(?m)^{name}:(.*)$", 1)
+    whole = lambda name: field(name).try_cast("long")
+    return F.struct(is_healthy_body(body).alias("up"), whole("node_id").alias("node_id"), field("state").alias("state"), whole("term").alias("term"), whole("leader_id").alias("leader_id"), (field("storage_healthy") == "1").alias("storage_healthy"))
+
+
+def event_counters(events: DataFrame, by: list[str], kinds: dict[str, Column]) -> DataFrame:
+    """How often each kind of event happened, by group; counters only rise as events are added."""
+    return events.groupBy(*by).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])

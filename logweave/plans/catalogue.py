@@ -67,9 +67,10 @@ def kv_state(spark, d):
     return replay.kv_state(derived_log(spark, d))
 
 
-@query("kv_state_asof", LOG_SQL + ", s AS (SELECT k, arg_max(v, log_index) AS v, arg_max(op, log_index) AS op, max(log_index) AS last_index FROM log WHERE op <> 'NOOP' AND log_index <= 500 GROUP BY k) SELECT k, v, last_index FROM s WHERE op = 'SET'")
+@query("kv_state_asof", LOG_SQL + ", s AS (SELECT k, arg_max(v, log_index) AS v, arg_max(op, log_index) AS op, max(log_index) AS last_index FROM log WHERE op <> 'NOOP' AND log_index <= (SELECT max(log_index) // 2 FROM log) GROUP BY k) SELECT k, v, last_index FROM s WHERE op = 'SET'")
 def kv_state_asof(spark, d):
-    return replay.state_asof(derived_log(spark, d), 500)
+    lg = derived_log(spark, d)
+    return replay.state_asof(lg, replay.last_applied(lg).first()[0] // 2)
 
 
 @query("kv_last_applied", LOG_SQL + "SELECT max(log_index) AS last_applied FROM log")
@@ -168,9 +169,10 @@ def log_term_at(spark, d):
     return log.term_at(derived_log(spark, d), 77)
 
 
-@query("log_truncate_tail", LOG_SQL + "SELECT max(log_index) AS last_index, count(*) AS n FROM log WHERE log_index < 600")
+@query("log_truncate_tail", LOG_SQL + "SELECT max(log_index) AS last_index, count(*) AS n FROM log WHERE log_index < (SELECT max(log_index) * 3 // 5 FROM log)")
 def log_truncate_tail(spark, d):
-    return log.truncate_suffix(derived_log(spark, d), 600).agg(F.max("log_index").alias("last_index"), F.count(F.lit(1)).alias("n"))
+    lg = derived_log(spark, d)
+    return log.truncate_suffix(lg, replay.last_applied(lg).first()[0] * 3 // 5).agg(F.max("log_index").alias("last_index"), F.count(F.lit(1)).alias("n"))
 
 
 @query("log_merge_entries", LOG_SQL + ", inc AS (SELECT log_index, CASE WHEN log_index >= 700 THEN term + 1000 ELSE term END AS term FROM log WHERE log_index BETWEEN 650 AND 720) SELECT log_index, term FROM log WHERE log_index < 700 UNION ALL SELECT log_index, term FROM inc WHERE log_index >= 700")
@@ -237,14 +239,24 @@ def quorum_vote_tally(spark, d):
     return quorum.tally(votes, 9)
 
 
-@query("quorum_freshness", PROGRESS_SQL + "SELECT group_id, count_if(900 - match_index % 1000 < 150)::BIGINT AS fresh, count(*) AS peers, count_if(900 - match_index % 1000 < 150) >= count(*) // 2 + 1 AS quorum FROM p GROUP BY group_id")
+# the leader's own contact counts; a third of the members of every other group never answered
+GROUPS_SQL = PROGRESS_SQL + ", g AS (SELECT group_id, min(peer) AS leader, count(*) + group_id % 2 * 5 AS members, 600 + group_id * 50 AS since FROM p GROUP BY group_id), f AS (SELECT g.group_id, members, since, 1 + count_if(p.peer <> g.leader AND 900 - p.match_index % 1000 < 150)::BIGINT AS fresh FROM g JOIN p USING (group_id) GROUP BY ALL) "
+
+
+def leaderships(p):
+    return p.groupBy("group_id").agg(F.min("peer").alias("leader"), (F.count(F.lit(1)) + F.col("group_id") % 2 * 5).alias("members"), (600 + F.col("group_id") * 50).alias("leader_since_ms"))
+
+
+@query("quorum_freshness", GROUPS_SQL + "SELECT group_id, members, fresh, members // 2 + 1 <= 1 OR 900 - since < 150 OR fresh >= members // 2 + 1 AS stays FROM f")
 def quorum_freshness(spark, d):
-    return quorum.freshness(progress(spark, d).withColumn("last_contact_ms", F.col("match_index") % 1000), F.lit(900))
+    p = progress(spark, d)
+    return quorum.check_quorum(leaderships(p), p.withColumn("last_contact_ms", F.col("match_index") % 1000), F.lit(900))
 
 
-@query("quorum_lease", PROGRESS_SQL + "SELECT group_id, count_if(900 - match_index % 1000 < 150)::BIGINT AS fresh, count(*) AS peers, count_if(900 - match_index % 1000 < 150) >= count(*) // 2 + 1 AS quorum, count_if(900 - match_index % 1000 < 150) >= count(*) // 2 + 1 AS lease FROM p GROUP BY group_id")
+@query("quorum_lease", GROUPS_SQL + "SELECT group_id, members, fresh, 900 - since >= 300 AND (members // 2 + 1 <= 1 OR fresh >= members // 2 + 1) AS lease FROM f")
 def quorum_lease(spark, d):
-    return quorum.lease_valid(progress(spark, d).withColumn("sent_ms", F.col("match_index") % 1000), F.lit(900), F.lit(600))
+    p = progress(spark, d)
+    return quorum.lease_valid(leaderships(p), p.withColumn("sent_ms", F.col("match_index") % 1000), F.lit(900))
 
 
 @query("quorum_match_acks", "SELECT a.peer, a.rpc_id, a.acked_ms, f.sent_ms FROM (SELECT user_id % 5 AS peer, event_id // 5 AS rpc_id, event_id * 2 + user_id AS acked_ms FROM events WHERE event_type <> 'error') a JOIN (SELECT user_id % 5 AS peer, event_id // 5 AS rpc_id, event_id * 2 AS sent_ms FROM events WHERE event_type = 'view') f USING (peer, rpc_id) WHERE a.acked_ms - f.sent_ms < 150")
@@ -279,7 +291,7 @@ def batch_by_count(spark, d):
     return batching.by_count(derived_log(spark, d), "client_id", "log_index", 4).select("client_id", "log_index", "batch")
 
 
-@query("batch_by_bytes")
+@query("batch_by_bytes", "WITH RECURSIVE a AS (SELECT doc_id, source, CAST(octet_length(encode(text)) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), g AS (SELECT source, doc_id, n AS n_bytes, r, CAST(0 AS BIGINT) AS batch, 1 AS entries, n AS size FROM a WHERE r = 1 UNION ALL SELECT a.source, a.doc_id, a.n, a.r, CASE WHEN g.entries >= 16 OR g.size + a.n > 20000 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.entries >= 16 OR g.size + a.n > 20000 THEN 1 ELSE g.entries + 1 END, CASE WHEN g.entries >= 16 OR g.size + a.n > 20000 THEN a.n ELSE g.size + a.n END FROM g JOIN a ON a.source = g.source AND a.r = g.r + 1) SELECT source, doc_id, n_bytes, batch FROM g")
 def batch_by_bytes(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"))
     return batching.greedy(docs, "source", "doc_id", "n_bytes", max_entries=16, max_bytes=20_000)
@@ -292,9 +304,9 @@ def batch_flush_plans(spark, d):
     return batching.flush_plans(rows, "user_id", "event_id")
 
 
-@query("reconnect_delays", "WITH a AS (SELECT user_id % 20 AS peer, event_id AS seq, event_id * 37 % 1500 AS lived FROM events), b AS (SELECT *, sum(CASE WHEN lived >= 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY peer ORDER BY seq) AS island FROM a), n AS (SELECT *, row_number() OVER (PARTITION BY peer, island ORDER BY seq) - 1 AS r FROM b) SELECT peer, seq, CASE WHEN lived >= 1000 THEN 0 ELSE CAST(least(2000, 500 * pow(2, least(r - CASE WHEN island > 0 THEN 1 ELSE 0 END, 20))) AS BIGINT) END AS delay_ms FROM n")
+@query("reconnect_delays", "WITH RECURSIVE a AS (SELECT user_id % 20 AS peer, event_id AS seq, event_id * 3701 % 15000 AS lived, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS r FROM events), s AS (SELECT peer, seq, r, 500 AS delay_ms FROM a WHERE r = 1 UNION ALL SELECT a.peer, a.seq, a.r, CASE WHEN a.lived >= 10000 THEN 500 ELSE least(2000, s.delay_ms * 2) END FROM s JOIN a ON a.peer = s.peer AND a.r = s.r + 1) SELECT peer, seq, CAST(delay_ms AS BIGINT) AS delay_ms FROM s")
 def reconnect_delays(spark, d):
-    a = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("peer"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 1500).alias("lived_ms"))
+    a = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("peer"), F.col("event_id").alias("seq"), (F.col("event_id") * 3701 % 15000).alias("lived_ms"))
     return batching.reconnect_delays(a).select("peer", "seq", "delay_ms")
 
 
@@ -341,10 +353,12 @@ def classify_commands(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").groupBy(x["kind"].alias("kind"), x["error"].alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("phase_counts", "SELECT phase, count(*) AS n FROM (SELECT n_nationkey AS phase, n_nationkey * 40 AS lo, n_nationkey * 40 + 30 AS hi FROM nation) w JOIN events e ON e.event_id >= lo AND e.event_id < hi GROUP BY phase")
+@query("phase_counts", "WITH m AS (SELECT (max(event_id) + 1) // 25 AS w FROM events) SELECT phase, count(*) AS n FROM (SELECT n_nationkey AS phase, n_nationkey * w AS lo, n_nationkey * w + w * 3 // 4 AS hi FROM nation, m) x JOIN events e ON e.event_id >= lo AND e.event_id < hi GROUP BY phase")
 def phase_counts(spark, d):
-    w = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("phase"), (F.col("n_nationkey") * 40).alias("start"), (F.col("n_nationkey") * 40 + 30).alias("stop"))
-    return reports.in_windows(spark.read.parquet(f"{d}/events.parquet"), w, "event_id").groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
+    e = spark.read.parquet(f"{d}/events.parquet")
+    width = (e.agg(F.max("event_id")).first()[0] + 1) // 25
+    w = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("phase"), (F.col("n_nationkey") * width).alias("start"), (F.col("n_nationkey") * width + width * 3 // 4).alias("stop"))
+    return reports.in_windows(e, w, "event_id").groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("head_tail_median", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS a, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS z FROM events) SELECT event_type, count(*) AS samples, quantile_cont(value, 0.5) FILTER (WHERE a <= 10) AS head, quantile_cont(value, 0.5) FILTER (WHERE z <= 10) AS tail, max(value) AS peak, CASE WHEN count(*) >= 30 THEN quantile_cont(value, 0.5) FILTER (WHERE z <= 10) - quantile_cont(value, 0.5) FILTER (WHERE a <= 10) END AS growth FROM r GROUP BY event_type")
@@ -371,11 +385,25 @@ def cpu_shares(spark, d):
     return reports.cpu_shares(rows, "g", "event_type", "delta")
 
 
-@query("info_summary", "WITH s AS (SELECT user_id % 5 AS run, event_id // 10 AS at_, event_id % 3 AS node, event_id // 100 + CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS term, user_id % 50 AS lag FROM events), e AS (SELECT run, at_, count(DISTINCT term) AS terms, max(term) AS term, max(lag) AS lag FROM s GROUP BY run, at_), w AS (SELECT *, CASE WHEN terms = 1 THEN term END AS agreed, last_value(CASE WHEN terms = 1 THEN term END IGNORE NULLS) OVER (PARTITION BY run ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) SELECT run, max(lag) AS max_lag, count_if(terms > 1)::BIGINT AS disagreements, count_if(agreed > before)::BIGINT AS term_increases FROM w GROUP BY run")
-def info_summary(spark, d):
+INFO_SQL = "s AS (SELECT user_id % 5 AS run, event_id // 3 AS at_, event_id % 3 AS node, CASE WHEN event_id % 3 = (event_id // 3) % 4 THEN 'leader' WHEN event_id % 17 = 0 THEN 'candidate' ELSE 'follower' END AS state, CASE WHEN event_id % 11 = 0 THEN -1 ELSE (event_id // 3) % 4 END AS leader_id, event_id // 100 + CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS term, event_id % 50 AS lag FROM events)"
+
+
+def info_samples(spark, d):
     i, u = F.col("event_id"), F.col("user_id")
-    s = spark.read.parquet(f"{d}/events.parquet").select((u % 5).alias("run"), F.floor(i / 10).cast("long").alias("at"), (i % 3).alias("node"), (F.floor(i / 100).cast("long") + F.when(i % 37 == 0, 1).otherwise(0)).alias("term"), (u % 50).alias("lag"))
-    return reports.info_summary(s)
+    third = F.floor(i / 3).cast("long")
+    state = F.when(i % 3 == third % 4, "leader").when(i % 17 == 0, "candidate").otherwise("follower")
+    return spark.read.parquet(f"{d}/events.parquet").select((u % 5).alias("run"), third.alias("at"), (i % 3).alias("node"), state.alias("state"), F.when(i % 11 == 0, -1).otherwise(third % 4).alias("leader_id"), (F.floor(i / 100).cast("long") + F.when(i % 37 == 0, 1).otherwise(0)).alias("term"), (i % 50).alias("lag"))
+
+
+@query("info_summary", "WITH " + INFO_SQL + ", e AS (SELECT run, at_, count_if(state = 'leader') AS leaders, count(DISTINCT leader_id) AS ids, count(DISTINCT term) AS terms, max(CASE WHEN state = 'leader' THEN term END) AS term, max(CASE WHEN state = 'leader' THEN lag END) AS lag FROM s GROUP BY run, at_), k AS (SELECT * FROM e WHERE leaders = 1 AND ids = 1 AND terms = 1), w AS (SELECT *, lag(term) OVER (PARTITION BY run ORDER BY at_) AS before FROM k) SELECT t.run, t.samples, w.max_lag, t.samples - coalesce(w.n, 0) AS disagreements, coalesce(w.c, 0) AS term_increases FROM (SELECT run, count(*) AS samples FROM e GROUP BY run) t LEFT JOIN (SELECT run, max(lag) AS max_lag, count(*) AS n, count_if(term <> before)::BIGINT AS c FROM w GROUP BY run) w USING (run)")
+def info_summary(spark, d):
+    return reports.info_summary(info_samples(spark, d))
+
+
+@query("leadership_agreement", "WITH " + INFO_SQL + ", l AS (SELECT at_ AS sample, count_if(state = 'leader')::BIGINT AS leaders, max(CASE WHEN state = 'leader' THEN node END) AS node, max(CASE WHEN state = 'leader' THEN term END) AS term FROM s GROUP BY at_) SELECT sample, leaders, CASE WHEN leaders = 1 AND bool_and(s.leader_id = l.node AND s.term = l.term AND s.state = CASE WHEN s.node = l.node THEN 'leader' ELSE 'follower' END) THEN max(l.node) END AS leader FROM l JOIN s ON s.at_ = l.sample GROUP BY sample, leaders")
+def leadership_agreement(spark, d):
+    s = info_samples(spark, d)
+    return quorum.leadership_agreement(s.withColumnRenamed("node", "node_id").withColumnRenamed("at", "sample"))
 
 
 @query("hot_keys", LOG_SQL + "SELECT k, count(*) AS n FROM log GROUP BY k ORDER BY n DESC, k LIMIT 10")
@@ -417,7 +445,7 @@ def resp_decode(spark, d):
 @query("snapshot_roundtrip", LOG_SQL + "SELECT k, CAST(v AS VARCHAR) AS v FROM state WHERE op = 'SET'")
 def snapshot_roundtrip(spark, d):
     state = replay.kv_state(derived_log(spark, d)).select(F.col("k").cast("binary").alias("k"), F.col("v").cast("string").cast("binary").alias("v"))
-    return wire.read_payloads(wire.snapshot_payloads(state, 4)).select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+    return wire.read_payloads(wire.snapshot_payloads(state, 1000)).select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
 
 
 @query("info_roundtrip", "SELECT node, key, value FROM (SELECT user_id AS node, unnest(['term', 'commit_index', 'state']) AS key, unnest([CAST(max(event_id) AS VARCHAR), CAST(count(*) AS VARCHAR), CASE WHEN user_id % 2 = 0 THEN 'leader' ELSE 'follower' END]) AS value FROM events GROUP BY user_id)")
@@ -427,14 +455,17 @@ def info_roundtrip(spark, d):
     return telemetry.info_lines(rows.select("node", text.alias("info")), "info", ["node"]).select("node", "key", "value")
 
 
-@query("prometheus_text", "SELECT user_id AS node, '# HELP raftkv_term Current Raft term.' || chr(10) || '# TYPE raftkv_term gauge' || chr(10) || 'raftkv_term ' || max(event_id) || chr(10) || '# HELP raftkv_apply_count Successful stage samples since process start.' || chr(10) || '# TYPE raftkv_apply_count counter' || chr(10) || 'raftkv_apply_count ' || count(*) || chr(10) AS text FROM events GROUP BY user_id")
+@query("prometheus_text", "SELECT user_id AS node, '# HELP node_term Current Raft term.' || chr(10) || '# TYPE node_term gauge' || chr(10) || 'node_term ' || max(event_id) || chr(10) || '# HELP node_apply_count Successful stage samples since process start.' || chr(10) || '# TYPE node_apply_count counter' || chr(10) || 'node_apply_count ' || count(*) || chr(10) AS text FROM events GROUP BY user_id")
 def prometheus_text(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("node")).agg(F.max("event_id").alias("t"), F.count(F.lit(1)).alias("n"))
     text = telemetry.info_text({"term": F.col("t"), "apply_count": F.col("n"), "namespace": F.lit("default"), "odd-name": F.lit(3)})
-    lines = telemetry.prometheus(telemetry.info_lines(rows.select("node", text.alias("info")), "info", ["node"]), ["node"])
+    lines = telemetry.prometheus(telemetry.info_lines(rows.select("node", text.alias("info")), "info", ["node"]), ["node"], "node_")
     return lines.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
-@query("reservoir")
+@query("reservoir", "SELECT event_id, value, count(*) OVER () AS seen FROM events ORDER BY md5('0:' || event_id), event_id LIMIT 100")
 def reservoir(spark, d):
     return reports.reservoir(spark.read.parquet(f"{d}/events.parquet").select("event_id", "value"), "event_id", 100)
+
+
+from . import rules  # noqa: E402, F401  (registers its queries)

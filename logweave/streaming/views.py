@@ -14,6 +14,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.log import snapshot_plus_suffix
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 class VersionedView:
     """State as one Parquet folder per micro-batch; writing a batch twice gives the same folder."""
 
@@ -67,7 +70,12 @@ class _Requests(StatefulProcessor):
 
 
 def stream_idemp(log: DataFrame) -> DataFrame:
-    """Streaming log (log_index, client_id, request_id) with the status of each request; micro-batches come in log order."""
+    """Streaming log (log_index, client_id, request_id) with the status of each request; micro-batches come in log order.
+
+    Sets the session's state store to RocksDB.
+    """
+    # the operator needs a store with column families; Spark reads this when the query starts
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     grouped = log.select("log_index", "client_id", "request_id").groupBy("client_id")
     return grouped.transformWithStateInPandas(_Requests(), "log_index long, client_id string, request_id long, status string", "Append", "None")
 
