@@ -105,10 +105,10 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """
     total = left.count()
     heavy = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least, -(-total // share))).select(*keys)
-    hot = saved(heavy.coalesce(1), "hot-keys")
+    hot = saved(heavy, "hot-keys")
     if not hot.take(1):
         return left.join(right, keys, how)
-    few = saved(right.join(F.broadcast(hot), keys, "left_semi").coalesce(1), "hot-rows")
+    few = saved(right.join(F.broadcast(hot), keys, "left_semi"), "hot-rows")
     usual = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
     return usual.unionByName(left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how))
 

@@ -180,18 +180,21 @@ def light_links(sets: DataFrame, percent: int) -> DataFrame:
 LISTED = "token long, node long, head long, before long, place long"
 
 
-def shared_tokens(entries: DataFrame, block: int) -> DataFrame:
+def hot_tokens(entries: DataFrame, block: int) -> DataFrame:
+    """(token, parts) of lists of a thousandth of all entries and of more than ``block``: 1,000 rows at most."""
+    total = entries.count()
+    hot = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(block, total // 1000))
+    return saved(hot.select("token", F.ceil(F.col("n") / block).cast("long").alias("parts")), "join-hot")
+
+
+def shared_tokens(entries: DataFrame, hot: DataFrame) -> DataFrame:
     """Entries of lists with two or more: token, node, first node of the list, the one before, place in the list.
 
-    A stream over sorted lists; nothing is gathered, however long a list is.  Lists of a thousandth of all entries and
-    of more than ``block`` are dealt out to several tasks in parts with firsts of their own (that only makes the linear
-    candidates differ).
+    A stream over sorted lists; nothing is gathered, however long a list is.  ``hot`` lists are dealt out to several
+    tasks in parts with firsts of their own.
     """
-    total = entries.count()
-    hot = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(block, total // 1000))
-    parts = saved(hot.select("token", F.ceil(F.col("n") / block).cast("long").alias("parts")).coalesce(1), "join-hot")  # 1,000 rows at most
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1))
-    entries = entries.join(F.broadcast(parts), "token", "left").select("token", "node", part.alias("part"))
+    entries = entries.join(F.broadcast(hot), "token", "left").select("token", "node", part.alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
@@ -293,8 +296,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield carry
 
 
-def linear_candidates(lists: DataFrame) -> DataFrame:
-    """Of every list: each entry with the first entry and with its predecessor."""
+def linear_candidates(lists: DataFrame, hot: DataFrame) -> DataFrame:
+    """Of every list: each entry with the first entry and with its predecessor; of hot lists also the firsts of all parts with the first of one."""
+    firsts = lists.filter("place = 0").join(F.broadcast(hot), "token")  # one row per part
+    lead = firsts.groupBy("token").agg(F.min("node").alias("other"))
+    lists = lists.select("node", "before", "head", "place").unionByName(firsts.join(lead, "token").filter("node <> other").select("node", F.col("other").alias("before"), F.col("other").alias("head"), F.lit(1).cast("long").alias("place")))
     both = lists.filter("place > 0").select("node", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
@@ -397,8 +403,9 @@ def _grouped(docs: DataFrame, words: int, percent: int, list_cost: float, block:
     sets = saved(one.withColumn("node", F.monotonically_increasing_id()), "join-sets")
     light = saved(light_links(sets, percent), "join-light")
     entries = saved(sets.select(F.explode("prefix").alias("token"), "node"), "join-entries")
-    lists = saved(shared_tokens(entries, block), "join-shared")
-    first = verified(near_sketches(linear_candidates(lists), sets, percent), docs, sets, words, percent, "join-linear")
+    hot = hot_tokens(entries, block)
+    lists = saved(shared_tokens(entries, hot), "join-shared")
+    first = verified(near_sketches(linear_candidates(lists, hot), sets, percent), docs, sets, words, percent, "join-linear")
     roots = components(light.unionByName(first), "join-first")
     rooted = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     second = verified(open_candidates(saved(rooted, "join-lists"), sets, percent, block), docs, sets, words, percent, "join-open")
