@@ -169,7 +169,7 @@ def signatures(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bo
 
 def light_links(sets: DataFrame, percent: int) -> DataFrame:
     """Exact links (a, b) between light sets: each set of a key group to the group's smallest one."""
-    keys = saved(sets.select("node", "n", F.explode("subsets").alias("k")).select("node", "n", "k.c", "k.key"), "join-keys")
+    keys = sets.select("node", "n", F.explode("subsets").alias("k")).select("node", "n", "k.c", "k.key")
     least = keys.groupBy("c", "key").agg(F.min(F.struct("n", "node")).alias("m"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("c", "key", "m")
     met = skewed_join(keys, least, ["c", "key"]).filter("node <> m.node")
     # c shared shingles are enough for sizes that ask for no more
@@ -402,7 +402,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, list_cost: float, block:
     one = signed.groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "sketch", "wide", "prefix", "subsets")])
     sets = saved(one.withColumn("node", F.monotonically_increasing_id()), "join-sets")
     light = saved(light_links(sets, percent), "join-light")
-    entries = saved(sets.select(F.explode("prefix").alias("token"), "node"), "join-entries")
+    entries = sets.select(F.explode("prefix").alias("token"), "node")
     hot = hot_tokens(entries, block)
     lists = saved(shared_tokens(entries, hot), "join-shared")
     first = verified(near_sketches(linear_candidates(lists, hot), sets, percent), docs, sets, words, percent, "join-linear")
