@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES_DIR = "scratch"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,8 +57,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks can import it wherever they run."""
+    """Send this package to the executors once per application, so that tasks can import it wherever they run.
+
+    Where the session has Spark's own 10,000 rows per Arrow batch, it gets 2,000: rows are whole documents, and a batch of
+    them stands in memory on both sides of a task.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     if getattr(sc, "_logweave_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -139,17 +146,20 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows (node, root), root the smallest node reachable.
 
     Alternating large-star and small-star steps; each is one aggregation and one join, and every round is written to
-    the shared folder.  Hot nodes are pre-aggregated (``min``) before the shuffle and joined by ``skewed_join``.
+    the shared folder.  Hot nodes are pre-aggregated (``min``) before the shuffle, and joined by
+    ``skewed_join`` in the first round.
     Nodes without an edge do not appear.  Raises RuntimeError if ``max_rounds`` do not suffice.
     """
     cur = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-cc")
     if not cur.take(1):
         return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     stats = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = skewed_join(both.filter("b > a"), low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # stars of any size come with the edges; later rounds hang their leaves on ever fewer nodes, which AQE splits if need be
+        up = both.filter("b > a")
+        large = (up.join(low, "a") if turn else skewed_join(up, low, ["a"])).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
         cur = saved(small, f"{name}-cc")

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, saved, ship_package, table
-from .textops import Words, chunks, lazily
+from .textops import Words, chunks, lazily, trimmed
 
 WINDOW = 13
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 SAMPLE_STEP = 16
 SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPAN)])
@@ -289,7 +289,7 @@ def _search(docs: DataFrame, part: Slice, name: str = "found") -> DataFrame:
             rows = [{"n_words": n, "n_hit": h, "items": i, "spans": [{"begin": a, "end": b} for a, b in s]} for n, h, i, s in (found[k] for k in which)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: trimmed(run(b)), schema)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, slice_words: int = 4_000_000, name: str = "found") -> DataFrame:

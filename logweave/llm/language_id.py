@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, ship_package, table
-from .textops import mixed
+from .textops import mixed, trimmed
 
 UND = "und"
 BUCKETS = 1 << 14
 MAX_N = 3
-CHUNK_CHARS = 150_000
+CHUNK_CHARS = 100_000
 #: n-grams beyond this many add no confidence to the score; all of them decide the language
 EVIDENCE = 40
 _folded: list = []
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = BUCKETS, max_n: in
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000.0
     sample = known.filter(unit < limit).select("lang", "text")
-    got = sample.mapInArrow(lambda b: _count(b, buckets, max_n), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = sample.mapInArrow(lambda b: trimmed(_count(b, buckets, max_n)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = got.toPandas()
     langs = sorted(share)
     n = np.zeros((buckets, len(langs)))
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
             langs, scores = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(lambda b: trimmed(run(b)), schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

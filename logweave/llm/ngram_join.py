@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, free_name, saved, ship_package, skewed_join, table
-from .textops import chunks, lazily, mixed, shingle_sets
+from .textops import chunks, lazily, mixed, shingle_sets, trimmed
 
 COUNTERS = 1 << 18
 CHUNKS = 16
@@ -103,7 +103,7 @@ def sizes_and_digests(docs: DataFrame, words: int) -> DataFrame:
             k = CHUNKS
             yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, digest binary, part int, counts binary")
+    return docs.mapInArrow(lambda b: trimmed(run(b)), "kind int, doc_id long, n long, digest binary, part int, counts binary")
 
 
 def _sum_counts(kind: str):
@@ -164,7 +164,7 @@ def signatures(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bo
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("c", pa.int32()), ("key", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, wide binary, prefix array<long>, subsets array<struct<c: int, key: long>>")
+    return docs.mapInArrow(lambda b: trimmed(run(b)), "doc_id long, n long, digest binary, sketch binary, wide binary, prefix array<long>, subsets array<struct<c: int, key: long>>")
 
 
 def light_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -365,7 +365,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets_], pa.binary())], names=["low", "digest", "s"])
 
     # rows that repeat id and text become one before they are shuffled
-    each = docs.mapInArrow(found, "low long, digest binary, s binary").groupBy("digest", "low").agg(F.first("s").alias("s"))
+    each = docs.mapInArrow(lambda b: trimmed(found(b)), "low long, digest binary, s binary").groupBy("digest", "low").agg(F.first("s").alias("s"))
     known = saved(each.join(wanted, ["digest", "low"]).select("node", "s"), f"{name}-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return saved(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}-links")
+    return saved(joined.select("a", "b", "x", "y").mapInArrow(lambda b: trimmed(check(b)), "a long, b long"), f"{name}-links")
 
 
 def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: float = 8.0, block: int = BLOCK) -> DataFrame:

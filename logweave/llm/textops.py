@@ -6,17 +6,20 @@ single text is never cut.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = bytes([0x20, 9, 10, 11, 12, 13])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict = {}
+_libc = ctypes.CDLL(None)
 
 
 def lazily(column, rows: int = 500) -> Iterator:
@@ -42,6 +45,14 @@ def chunks(rows: Iterable, texts: Iterable, limit: int = CHUNK_BYTES) -> Iterato
         yield part_rows, part
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; behind the last one the worker, which other stages go on using, gives freed memory back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finalizer of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, range_bounds, scratch_path, ship_package, table
+from .textops import trimmed
 
 END_ID = 1
 #: pieces whose ids a worker keeps, twice: those of the current and of the last generation
@@ -157,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
     bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket_of(F.col("doc_id"), bounds))
     dealt = rows.withColumn("bucket", bucket.cast("int")).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
     schema = f"bucket int, doc_id {dict(rows.dtypes)['doc_id']}, local_start long, n_tokens long, ids array<int>"
-    out = dealt.select("bucket", "doc_id", "text").mapInArrow(lambda b: _encode(b, vocabulary), schema)
+    out = dealt.select("bucket", "doc_id", "text").mapInArrow(lambda b: trimmed(_encode(b, vocabulary)), schema)
     options = {"compression": "zstd", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(row_index_stride), "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     out.write.options(**options).orc(f"{path}/ids")
     sums = spark.read.orc(f"{path}/ids").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import saved, ship_package, table
 from .language_id import held_out
-from .textops import mixed
+from .textops import mixed, trimmed
 
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 300_000
@@ -334,7 +334,7 @@ def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
             scores = shared.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(lambda b: trimmed(run(b)), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
