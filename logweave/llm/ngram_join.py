@@ -46,6 +46,8 @@ BUCKETS = 32
 WIDE = 256
 MAX_LIGHT = 40
 BLOCK = 1024
+#: lists are sorted in this many ways, by token, so that a set's neighbours in the linear round are not the same in all its lists
+ORDERS = 4
 
 
 def needed_overlap(a, b, percent: int):
@@ -230,7 +232,8 @@ def shared_tokens(entries: DataFrame, hot: DataFrame) -> DataFrame:
         if carry is not None and len(carry):
             yield decided(carry, len(carry))
 
-    return entries.repartition("token", "part").sortWithinPartitions("token", "part", "node").mapInArrow(run, LISTED)
+    order = F.xxhash64("node", F.pmod("token", F.lit(ORDERS)))
+    return entries.repartition("token", "part").sortWithinPartitions("token", "part", order, "node").mapInArrow(run, LISTED)
 
 
 def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
