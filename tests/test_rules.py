@@ -7,7 +7,7 @@ from logweave.functions import bytes as b
 from logweave.functions import commands as c
 from logweave.operators import batching, quorum, replay, reports, telemetry
 from logweave.operators import log as log_ops
-from logweave.plans import catalogue
+from logweave.plans import catalogue, rules
 from logweave.sources import wire
 from logweave.streaming.views import VersionedView, stream_idemp, stream_kv_view
 
@@ -118,6 +118,21 @@ def test_stream_idemp_equals_batch(spark):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.fixture
+def many_parts(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_stream_idemp_reads_its_log_in_many_tasks(spark, many_parts):
+    stream, path = rules._as_stream(spark, "/root/testdata/sf0.001", "idemp")
+    assert spark.read.parquet(f"{path}/log").select(F.input_file_name()).distinct().count() > 1
+    got = rules.stream_idemp(spark, "/root/testdata/sf0.001")
+    want = catalogue.QUERIES["kv_idemp_status"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_verbs_are_upper_cased_in_ascii_only(spark):
     row = spark.createDataFrame([(["ſet", "k", "v"],), (["set", "k", "v"],)], "a array<string>").select(c.classify(c.upper_verb(F.col("a"))).alias("x")).collect()
     assert [r.x.kind for r in row] == ["ERROR", "WRITE"]
