@@ -133,6 +133,17 @@ def test_stream_idemp_reads_its_log_in_many_tasks(spark, many_parts):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_kv_state_reads_its_log_in_many_tasks(spark, many_parts):
+    stream, path = rules._as_stream(spark, "/root/testdata/sf0.001", "kv")
+    view = VersionedView(spark, f"{path}/view")
+    query = stream_kv_view(stream, view, f"{path}/checkpoint")
+    query.awaitTermination(120)
+    assert spark.read.parquet(f"{path}/log").select(F.input_file_name()).distinct().count() > 1
+    assert view._versions() == [0]  # one micro-batch, however many files
+    want = catalogue.QUERIES["kv_state"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, view.latest().select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_verbs_are_upper_cased_in_ascii_only(spark):
     row = spark.createDataFrame([(["ſet", "k", "v"],), (["set", "k", "v"],)], "a array<string>").select(c.classify(c.upper_verb(F.col("a"))).alias("x")).collect()
     assert [r.x.kind for r in row] == ["ERROR", "WRITE"]
