@@ -7,10 +7,11 @@ Texts with equal shingle sets are one set from the start.  Two sets of sizes a a
   share a c-subset overlap in c shingles, so a group needs only links to its smallest set: no pairs.
 * Heavy sets are found by inverted lists over their rarest shingles (a prefix: two linked sets share one of
   them).  Rarity comes from hashed counters over the whole corpus, of fixed size, so lists stay short.  Lists are
-  scanned twice.  First every set meets only the first set of its list and its predecessor, and these linear
+  scanned three times.  First every set meets only the first set of its list and its predecessor, and these linear
   candidates are verified and merged.  Then sets of still different groups meet; long lists are dealt out in
-  blocks to many tasks, and a count sketch (a lower bound of the symmetric difference, so nothing is lost)
-  drop nearly all pairs before the exact check on whole shingle sets.
+  blocks to many tasks, and the tokens' places in both prefixes and a count sketch (a lower bound of the symmetric
+  difference, so nothing is lost) drop nearly all pairs before the exact check on whole shingle sets.  A first pass over
+  a block takes only pairs that tie its groups together; the second takes all pairs of what is still apart.
 
 The boundary between light and heavy is where the number of subset keys passes the weighted number of list entries,
 from the histogram of set sizes.
@@ -179,7 +180,7 @@ def light_links(sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(enough).select(F.col("m.node").alias("a"), F.col("node").alias("b"))
 
 
-LISTED = "token long, node long, head long, before long, place long"
+LISTED = "token long, node long, head long, before long, place long, n long, pos long"
 
 
 def hot_tokens(entries: DataFrame, block: int) -> DataFrame:
@@ -196,7 +197,7 @@ def shared_tokens(entries: DataFrame, hot: DataFrame) -> DataFrame:
     tasks in parts with firsts of their own.
     """
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1))
-    entries = entries.join(F.broadcast(hot), "token", "left").select("token", "node", part.alias("part"))
+    entries = entries.join(F.broadcast(hot), "token", "left").select("token", "node", part.alias("part"), "n", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
@@ -218,7 +219,7 @@ def shared_tokens(entries: DataFrame, hot: DataFrame) -> DataFrame:
             if upto:
                 k = upto - 1
                 last = (token[k], part[k], node[k], head[k], place[k])
-            cols = [token, node, head, np.where(place > 0, before, node), place]
+            cols = [token, node, head, np.where(place > 0, before, node), place, t.column("n").to_numpy(), t.column("pos").to_numpy()]
             return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(np.int64)) for c in cols], names=names)
 
         for batch in batches:
@@ -259,23 +260,51 @@ def _within(pairs: DataFrame, sets: DataFrame, percent: int, kind: str, buckets:
     return sized.select("a", "b", "m", "n", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _pairs(rep, n, root, sketch, cross: int | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different roots that size and sketch allow.  cross: the first ``cross`` rows meet the others only."""
-    rows = len(rep)
-    out_a, out_b = [], []
+def _pairs(n, pos, root, sketch, cross: int | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of different roots that size, place in the prefix and sketch allow, with the distance that is left.
+
+    cross: the first ``cross`` rows meet the others only.
+    """
+    rows = len(n)
+    out_a, out_b, left = [], [], []
     last = cross if cross is not None else rows
     for i in range(last):
         j = np.arange(cross, rows) if cross is not None else np.arange(i + 1, rows)
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        j = j[(root[i] != root[j]) & (100 * low >= percent * high)]
+        overlap = needed_overlap(n[i], n[j], percent)
+        # a linked pair has all it shares from its first common token on, and is found in that token's list
+        fits = (pos[i] <= n[i] - overlap) & (pos[j] <= n[j] - overlap)
+        j = j[(root[i] != root[j]) & (100 * low >= percent * high) & fits]
         if len(j):
             distance = np.abs(sketch[i] - sketch[j]).sum(axis=1)
-            j = j[distance <= n[i] + n[j] - 2 * needed_overlap(n[i], n[j], percent)]
-            out_a.append(np.full(len(j), rep[i]))
-            out_b.append(rep[j])
+            room = n[i] + n[j] - 2 * needed_overlap(n[i], n[j], percent) - distance
+            out_a.append(np.full(int((room >= 0).sum()), i))
+            out_b.append(j[room >= 0])
+            left.append(room[room >= 0])
     if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(left)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, left: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of the pairs (rows a, b) those, the likeliest first, that tie roots which no pair before has tied: fewer than there are roots."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    keep, missing = [], len(np.unique(root)) - 1
+    for k in np.argsort(-left, kind="stable").tolist():
+        x, y = top(int(root[a[k]])), top(int(root[b[k]]))
+        if x != y:
+            above[y] = x
+            keep.append(k)
+            if len(keep) == missing:
+                break
+    return np.array(keep, np.int64)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -308,27 +337,45 @@ def linear_candidates(lists: DataFrame, hot: DataFrame) -> DataFrame:
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def open_candidates(lists: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different roots in one list that size and sketch allow.  ``lists``: token, node, root; ``sets``: node, n, wide.
+def reaching(lists: DataFrame, percent: int) -> DataFrame:
+    """Entries of lists with several roots whose place leaves room for the overlap with the smallest set of the list.
+
+    Tokens stand in one order in all prefixes, so a set of size n whose first token in common with a linked one is at ``pos``
+    shares at most n - pos: the pair is found in that token's list, and entries further back are not needed for it.
+    Lists of fewer than four have no pairs but the linear ones.
+    """
+    spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).filter("lo <> hi and many >= 4")
+    other = f"greatest(least, (n * {percent} + 99) div 100)"
+    room = f"pos <= n - ({percent} * (n + {other}) + {99 + percent}) div {100 + percent}"
+    return skewed_join(lists, spread.select("token", "least"), ["token"]).filter(room).select("token", "node", "root", "n", "pos")
+
+
+def open_candidates(lists: DataFrame, sets: DataFrame, percent: int, block: int, forest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different roots in one list that size, place and sketch allow.  ``lists``: what ``reaching`` leaves; ``sets``: node, wide.
 
-    Lists of fewer than four have no pairs but the linear ones.  Of longer ones only those with several roots are
-    dealt out, a list of more than ``block`` entries in pairs of blocks.
+    Only lists with several roots are dealt out, a list of more than ``block`` entries in pairs of blocks.  ``forest``: of
+    each block only pairs that tie its roots together, fewer than its entries; most links of large groups are found so,
+    and what is apart afterwards needs all its pairs.
     """
-    spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi and many >= 4")
+    spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     sized = spread.select("token", F.ceil(F.col("many") / block).cast("int").alias("blocks"))
-    wide = skewed_join(lists, sized, ["token"]).join(sets.select("node", "n", F.col("wide").alias("sketch")), "node")
+    wide = skewed_join(lists, sized, ["token"]).join(sets.select("node", F.col("wide").alias("sketch")), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = wide.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "n", "root", "sketch")
+    placed = wide.withColumn("own", own).withColumn("o", F.col("own") if forest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "n", "pos", "root", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["token", "i", "j"]):
             if len(t) < 2:
                 continue
-            node, n, root, own = (t.column(c).to_numpy() for c in ("node", "n", "root", "own"))
+            node, n, pos, root, own = (t.column(c).to_numpy() for c in ("node", "n", "pos", "root", "own"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u1").reshape(len(t), WIDE).astype(np.int16)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            a, b = _pairs(node, n, root, sketch, int((own == i).sum()) if i != j else None, percent)
+            a, b, left = _pairs(n, pos, root, sketch, int((own == i).sum()) if i != j else None, percent)
+            if forest:
+                some = _forest(a, b, left, root)
+                a, b = a[some], b[some]
+            a, b = node[a], node[b]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -405,14 +452,19 @@ def _grouped(docs: DataFrame, words: int, percent: int, list_cost: float, block:
     one = signed.groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "sketch", "wide", "prefix", "subsets")])
     sets = saved(one.withColumn("node", F.monotonically_increasing_id()), "join-sets")
     light = saved(light_links(sets, percent), "join-light")
-    entries = sets.select(F.explode("prefix").alias("token"), "node")
+    entries = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     hot = hot_tokens(entries, block)
     lists = saved(shared_tokens(entries, hot), "join-shared")
     first = verified(near_sketches(linear_candidates(lists, hot), sets, percent), docs, sets, words, percent, "join-linear")
     roots = components(light.unionByName(first), "join-first")
-    rooted = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = verified(open_candidates(saved(rooted, "join-lists"), sets, percent, block), docs, sets, words, percent, "join-open")
-    groups = components(light.unionByName(first).unionByName(second), "join-all")
+    rooted = lists.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = saved(reaching(saved(rooted, "join-lists"), percent), "join-reaching")
+    tied = verified(open_candidates(apart, sets, percent, block, forest=True), docs, sets, words, percent, "join-forest")
+    linked = light.unionByName(first).unionByName(tied)
+    roots = components(linked, "join-second")
+    apart = saved(apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-apart")
+    second = verified(open_candidates(apart, sets, percent, block), docs, sets, words, percent, "join-open")
+    groups = components(linked.unionByName(second), "join-all")
     member = saved(groups.join(sets.select("node", "digest", "low"), "node"), "join-member")
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
     grouped = skewed_join(member, least, ["root"]).select("digest", "component_id")

@@ -30,6 +30,18 @@ def sets(rows, k):
     return out
 
 
+def test_open_round_of_a_large_group(spark):
+    wide = bytes(ngram_join.WIDE)
+    sets_ = spark.createDataFrame([(i, wide) for i in range(40)], "node long, wide binary")
+    rows = [(7, i, i, 100, 0) for i in range(40)] + [(8, i, i, 100, 12) for i in range(40)]  # 80 % asks for an overlap of 89: places 0 to 11 leave room
+    lists = spark.createDataFrame(rows, "token long, node long, root long, n long, pos long")
+    found = ngram_join.open_candidates(lists, sets_, 80, 1024, forest=True)
+    assert found.count() == 39 and ngram_join.components(found, "test").select("root").distinct().count() == 1
+    assert ngram_join.open_candidates(lists, sets_, 80, 1024).count() == ngram_join.open_candidates(lists, sets_, 80, 8).count() == 780
+    assert ngram_join.open_candidates(lists.filter("token = 8"), sets_, 80, 8).count() == 0
+    assert ngram_join.reaching(lists, 80).select("token").distinct().first()[0] == 7
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_join_equals_all_pairs(spark, k, percent):
     rng = np.random.default_rng(5)
