@@ -6,7 +6,8 @@ Texts with equal shingle sets are one set from the start.  Two sets of sizes a a
 * Light sets (size up to a boundary) enumerate their c-subsets for every c that a partner can ask for.  Sets that
   share a c-subset overlap in c shingles, so a group needs only links to its smallest set: no pairs.
 * Heavy sets are found by inverted lists over their rarest shingles (a prefix: two linked sets share one of
-  them).  Rarity comes from hashed counters over the whole corpus, of fixed size, so lists stay short.  Lists are
+  them).  Rarity comes from hashed counters over the whole corpus, of fixed size but many enough to tell rare shingles
+  apart, so lists stay short.  Lists are
   scanned three times.  First every set meets only the first set of its list and its predecessor, and these linear
   candidates are verified and merged.  Then sets of still different groups meet; long lists are dealt out in
   blocks to many tasks, and the tokens' places in both prefixes and a count sketch (a lower bound of the symmetric
@@ -40,8 +41,11 @@ from pyspark.sql import functions as F
 from .common import components, free_name, saved, ship_package, skewed_join, table
 from .textops import chunks, lazily, mixed, shingle_sets, trimmed
 
-COUNTERS = 1 << 18
-CHUNKS = 16
+#: with few, frequent shingles that share a counter hide the rare ones, and lists fill up with chance meetings
+COUNTERS = 1 << 24
+CHUNKS = 256
+#: a task's counters stop here, and are cut to it each time so many sets have been added that they could pass 16 bits
+MOST = 1 << 15
 #: buckets of the two count sketches of a set: 16-bit counts for a first look, 8-bit counts for a closer one
 BUCKETS = 32
 WIDE = 256
@@ -89,43 +93,57 @@ def sizes_and_digests(docs: DataFrame, words: int) -> DataFrame:
     """One row (kind 0) per document: doc_id, n, digest; and rows (kind 1) with parts of the hashed shingle counts of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total, added = np.zeros(COUNTERS, np.uint16), 0
         names = ["kind", "doc_id", "n", "digest", "part", "counts"]
         for batch in batches:
             for ids, texts in chunks(lazily(batch.column("doc_id")), lazily(batch.column("text"))):
                 sets = list(shingle_sets(texts, words))
                 n = np.array([len(s) for s in sets], np.int64)
-                if n.sum():
-                    total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                for a in range(0, len(sets), MOST // 2):
+                    part = sets[a : a + MOST // 2]
+                    if added + len(part) > MOST // 2:
+                        np.minimum(total, MOST, out=total)
+                        added = 0
+                    np.add.at(total, (np.concatenate(part) % np.uint64(COUNTERS)).astype(np.int64), np.uint16(1))
+                    added += len(part)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 k = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array(ids, pa.int64()), _column(n), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if total.any():
             step = COUNTERS // CHUNKS
-            parts = [total[i * step : (i + 1) * step].astype("<u4").tobytes() for i in range(CHUNKS)]
-            k = CHUNKS
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            for i in range(CHUNKS):
+                part = _packed(np.minimum(total[i * step : (i + 1) * step], MOST))
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([part], pa.binary())], names=names)
 
     return docs.mapInArrow(lambda b: trimmed(run(b)), "kind int, doc_id long, n long, digest binary, part int, counts binary")
 
 
-def _sum_counts(kind: str):
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<u4" if kind == "u4" else "<i8").astype(np.int64) for x in t.column("counts").to_pylist())
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+def _packed(counts: np.ndarray) -> bytes:
+    """Small numbers take about their bits: all lowest bytes come first, the highest last."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
 
-    return add
+
+def _unpacked(data: bytes) -> np.ndarray:
+    step = COUNTERS // CHUNKS
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * step, codec="zstd"), np.uint8).reshape(4, step)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _sum_counts(t: pa.Table) -> pa.Table:
+    """Summed counters of one part, up to the largest 32-bit number."""
+    total = sum((_unpacked(x).astype(np.int64) for x in lazily(t.column("counts"), 16)), np.int64(0))
+    return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "counts": pa.array([_packed(np.minimum(total, 2**32 - 1))], pa.binary())})
 
 
 def corpus_counts(rows: DataFrame) -> np.ndarray:
-    """The summed counters: COUNTERS numbers, whatever the corpus; sums run in two levels of groups."""
+    """The summed counters, one byte for each of COUNTERS (8 times their binary logarithm), whatever the corpus; sums run in two levels of groups."""
     first = rows.filter("kind = 1").select("part", "counts").withColumn("g", (F.spark_partition_id() / 16).cast("int"))
-    some = first.groupBy("part", "g").applyInArrow(_sum_counts("u4"), "part int, counts binary")
-    whole = some.groupBy("part").applyInArrow(_sum_counts("i8"), "part int, counts binary")
-    out = np.zeros(COUNTERS, np.int64)
+    some = first.groupBy("part", "g").applyInArrow(_sum_counts, "part int, counts binary")
+    whole = some.groupBy("part").applyInArrow(_sum_counts, "part int, counts binary")
+    out = np.zeros(COUNTERS, np.uint8)
     step = COUNTERS // CHUNKS
-    for r in whole.collect():
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], "<i8")
+    for r in whole.toLocalIterator():
+        out[r["part"] * step : (r["part"] + 1) * step] = np.minimum(8 * np.log2(1.0 + _unpacked(r["counts"])), 255)
     return out
 
 

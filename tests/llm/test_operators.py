@@ -42,6 +42,20 @@ def test_open_round_of_a_large_group(spark):
     assert ngram_join.reaching(lists, 80).select("token").distinct().first()[0] == 7
 
 
+def test_rare_shingles_are_told_apart_in_a_large_corpus(spark):
+    """Half of each set is its own, half is in eight sets; there are a score of shingles for each of 2**18 counters."""
+    half = 500
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(half)] + [f"some{i // 8}x{j}" for j in range(half)])) for i in range(8000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts = ngram_join.corpus_counts(ngram_join.saved(ngram_join.sizes_and_digests(table, 1), "test-rows"))
+    some = table.filter("doc_id < 400")
+    texts = dict(some.collect())
+    shared = {x for i in texts if i % 8 == 0 for s in ngram_join.shingle_sets([" ".join(texts[i].split()[half:]).encode()], 1) for x in s.view(np.int64).tolist()}
+    taken = [x for r in ngram_join.signatures(some, 1, 90, counts, 0).select("prefix").collect() for x in r.prefix]
+    assert len(taken) == 400 * 101 and len(shared) == 50 * half
+    assert sum(x in shared for x in taken) < 0.002 * len(taken)
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_join_equals_all_pairs(spark, k, percent):
     rng = np.random.default_rng(5)
