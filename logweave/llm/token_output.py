@@ -19,10 +19,10 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +32,8 @@ from .textops import trimmed
 END_ID = 1
 #: pieces whose ids a worker keeps, twice: those of the current and of the last generation
 CACHE_PIECES = 120_000
+#: bytes of the texts that are encoded at once; the more, the more of their pieces are repeats
+PART_BYTES = 1_500_000
 _encoders: dict = {}
 
 
@@ -46,14 +48,15 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.end = np.array([END_ID], "<u4").tobytes()
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _each(self, pieces: list[str]) -> None:
         for a in range(0, len(pieces), 500):
             part = pieces[a : a + 500]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece.encode()] = np.array(got.ids, "<u4").tobytes()
+                self.known[piece] = np.array(got.ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> None:
         """Words of letters only, 500 to a text, cut again at the ids that end a word."""
@@ -67,52 +70,70 @@ class Encoder:
                     self._each(part)
                     continue
                 data, ends = ids.tobytes(), (4 * cut).tolist()
-                self.known.update(zip([w.encode() for w in part], [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+                self.known.update(zip(part, [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     @staticmethod
-    def pieces(text: str) -> list[bytes]:
-        """Pieces between ASCII white space whose ids, one after the other, are the text's.
+    def plain(text: str) -> str:
+        """A text whose pieces between ASCII white space have ids that, one after the other, are those of ``text``.
 
         Latin-1 texts are lower-cased first, as the tokenizer does (its other normalization leaves them alone), but
         for those in which a special token's name may stand.
         """
+        if text.isascii():
+            return text if "<|" in text else text.lower()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.encode().split()
-        return text.encode().split() if "<|" in text else text.lower().encode().split()
+            return text
+        return text if "<|" in text else text.lower()
 
-    def _learn(self, pieces: set[bytes]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Words, and words that one full stop or comma closes (the tokenizer divides there), are looked up as words."""
         words, other, closed = [], [], []
         for p in pieces:
-            w = p.decode()
-            if w.isalpha():
-                words.append(w)
-            elif p[-1:] in (b".", b",") and w[:-1].isalpha():
+            if p.isalpha():
+                words.append(p)
+            elif p[-1:] in (".", ",") and p[:-1].isalpha():
                 closed.append(p)
             else:
-                other.append(w)
+                other.append(p)
         known = self.known
         cores = {p[:-1] for p in closed}.difference(known)
         again = cores.intersection(self.older)
         known.update([(w, self.older[w]) for w in again])
-        self._words(sorted({*words, *(w.decode() for w in cores.difference(again))}))
-        self._each([mark for mark in (".", ",") if mark.encode() not in known])
-        self._each(sorted(other))
-        known.update([(p, known[p[:-1]] + known[p[-1:]]) for p in closed])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, without the end id."""
-        split = [self.pieces(t) for t in texts]
+        self._words(list({*words, *cores.difference(again)}))
+        self._each([mark for mark in (".", ",") if mark not in known])
+        self._each(other)
+        known.update([(p, known[p[:-1]] + known[p[-1]]) for p in closed])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with the end id behind it; and their numbers per text.
+
+        Every different piece of the texts is looked up once; Arrow splits the texts and numbers their pieces.
+        """
+        split = pc.ascii_split_whitespace(pa.array(map(self.plain, texts), pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_PIECES:
-            self.older, self.known = self.known, {}
-        new = set(chain.from_iterable(split)).difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update([(p, self.older[p]) for p in again])
-        self._learn(new.difference(again))
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in split]
+            self.older, self.known = self.known, {"": b""}
+        known, older = self.known, self.older
+        got = list(map(known.get, pieces))
+        new = [p for p, x in zip(pieces, got, strict=True) if x is None]
+        again = [p for p in new if p in older]
+        known.update([(p, older[p]) for p in again])
+        self._learn([p for p in new if p not in older])
+        got = [known[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
+        got.append(self.end)
+        pool = np.frombuffer(b"".join(got), "<i4")
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        at = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
+        codes = np.insert(coded.indices.to_numpy(), at[1:], len(pieces))  # the end id is one more piece
+        lengths = sizes[codes]
+        starts = (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(lengths)
+        flat = pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = ends[at[1:] + np.arange(len(texts))]
+        return flat, np.diff(upto, prepend=0)
 
 
 def encoder(path: str) -> Encoder:
@@ -121,25 +142,32 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 1000, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts hold at most ``size`` bytes (one text at least)."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64)
+    upto, a = np.cumsum(sizes), 0
+    while a < len(batch):
+        b = int(np.searchsorted(upto, size + (upto[a - 1] if a else 0), "right"))
+        b = min(max(b, a + 1), a + rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; the offset starts anew in each."""
     import public_tokenizers
 
     enc = encoder(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
-    end = np.array([END_ID], "<u4").tobytes()
     bucket, offset = None, 0
     for batch in batches:
-        for a in range(0, len(batch), 200):
-            part = batch.slice(a, 200)
-            rows = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
+        for part in _parts(batch):
+            flat, sizes = enc.encode([t or "" for t in part.column("text").to_pylist()])
             starts = []
-            for b, x in zip(part.column("bucket").to_pylist(), rows, strict=True):
+            for b, n in zip(part.column("bucket").to_pylist(), sizes.tolist(), strict=True):
                 if b != bucket:
                     bucket, offset = b, 0
                 starts.append(offset)
-                offset += len(x) // 4
-            sizes = np.array([len(x) // 4 for x in rows], np.int64)
-            flat = np.frombuffer(b"".join(rows), "<i4")
+                offset += n
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("doc_id"), pa.array(starts, pa.int64()), pa.array(sizes), ids], names=["bucket", "doc_id", "local_start", "n_tokens", "ids"])
 

@@ -42,6 +42,28 @@ def test_open_round_of_a_large_group(spark):
     assert ngram_join.reaching(lists, 80).select("token").distinct().first()[0] == 7
 
 
+def test_encoder_looks_up_each_piece_of_a_batch_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["", "  a  b ", "\x0b x\x0cy\r\n", "<|endoftext|> A", "É È µ ß İ", "a\x00b", "\x85 x\xa0y", "world.. don't .", ".", "x.", "\x1c a\x1db", "日本語 。", "é. È,"]
+    for some in (texts, texts[:1], texts[::-1], []):
+        ids, sizes = token_output.Encoder(path).encode(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][: len(some)] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in some]
+    enc, asked = token_output.Encoder(path), []
+
+    class Known(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    enc.known = Known(enc.known)
+    enc.encode(["one two"] * 300)
+    assert sorted(asked) == ["one", "two"]
+
+
 def test_rare_shingles_are_told_apart_in_a_large_corpus(spark):
     """Half of each set is its own, half is in eight sets; there are a score of shingles for each of 2**18 counters."""
     half = 500
