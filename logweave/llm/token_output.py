@@ -6,8 +6,8 @@ filter of ``doc_id``.  Rows are dealt into buckets by exact, repeatable id bound
 each document's offset inside its bucket, and a manifest the number of ids per bucket, so nothing is
 rewritten to make offsets global.
 
-Encoding splits texts at ASCII white space, where the tokenizer always splits too, and keeps the ids of each piece in
-a bounded cache; every piece (or a word and its closing mark, which the tokenizer also divides) is encoded by the
+Encoding splits texts at ASCII white space, and Latin-1 texts before marks, where the tokenizer always splits too, and keeps the ids of each piece in
+a bounded cache; every piece (or a word and its closing marks, which the tokenizer also divides) is encoded by the
 tokenizers library itself.
 
 Defined cases: a null text is empty and has only the end id; null doc_ids come first; rows with equal doc_id are
@@ -16,7 +16,9 @@ ordered by their text, so offsets of repeated rows are repeatable; an empty tabl
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,20 +33,40 @@ from .textops import trimmed
 
 END_ID = 1
 #: pieces whose ids a worker keeps, twice: those of the current and of the last generation
-CACHE_PIECES = 120_000
+CACHE_PIECES = 250_000
 #: bytes of the texts that are encoded at once; the more, the more of their pieces are repeats
-PART_BYTES = 1_500_000
+PART_BYTES = 3_000_000
+#: ASCII marks, none of which the tokenizer joins with a letter before it
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_latin = [chr(b) for b in range(256)]
+LATIN_LOWER = "".join(map(str.lower, _latin)).encode("latin-1")
+LATIN_WORD = np.array([c.isalpha() or unicodedata.category(c)[0] == "N" for c in _latin])
+LATIN_MARK = np.array([c in MARKS for c in _latin])
 _encoders: dict = {}
 
 
+def _kinds(config: dict | None) -> list[str]:
+    """Types of the parts of a tokenizer's normalizer or pre-tokenizer."""
+    return [part["type"] for key in ("normalizers", "pretokenizers") for part in (config or {}).get(key, [])]
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence as Normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.quick = self.tokenizer
+        config = json.loads(self.tokenizer.to_str())
+        if [_kinds(config["normalizer"]), _kinds(config["pre_tokenizer"])] == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            # words that the normalizer leaves alone and the pattern doesn't divide need neither: the same model without regular expressions
+            self.quick = Tokenizer.from_file(path)
+            self.quick.normalizer = Normalizers([])
+            self.quick.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -60,10 +82,21 @@ class Encoder:
 
     def _words(self, words: list[str]) -> None:
         """Words of letters only, 500 to a text, cut again at the ids that end a word."""
+        simple = [w for w in words if self._simple(w)]
+        self._joined(self.quick, simple)
+        if len(simple) < len(words):
+            self._joined(self.tokenizer, [w for w in words if not self._simple(w)])
+
+    @staticmethod
+    def _simple(word: str) -> bool:
+        """Latin-1 in lower case: normal already."""
+        return word.isascii() and word.islower() or max(word) < "\u0100" and word == word.lower()
+
+    def _joined(self, tokenizer, words: list[str]) -> None:
         parts = [words[a : a + 500] for a in range(0, len(words), 500)]
         for a in range(0, len(parts), 4):
             texts = [" ".join(p) for p in parts[a : a + 4]]
-            for part, got in zip(parts[a : a + 4], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            for part, got in zip(parts[a : a + 4], tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(got.ids, "<u4")
                 cut = np.flatnonzero(self.closes[ids]) + 1
                 if len(cut) != len(part) or cut[-1] != len(ids):
@@ -73,45 +106,63 @@ class Encoder:
                 self.known.update(zip(part, [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     @staticmethod
-    def plain(text: str) -> str:
-        """A text whose pieces between ASCII white space have ids that, one after the other, are those of ``text``.
+    def plain(texts: list[str]) -> pa.Array:
+        """Texts whose pieces between ASCII white space have ids that, one after the other, are those of ``texts``.
 
-        Latin-1 texts are lower-cased first, as the tokenizer does (its other normalization leaves them alone), but
-        for those in which a special token's name may stand.
+        Latin-1 texts are lower-cased, as the tokenizer does (its other normalization leaves them alone), and get a space
+        between a letter or digit and a mark behind it, where the tokenizer always divides; but for those in which a special token's
+        name may stand.
         """
-        if text.isascii():
-            return text if "<|" in text else text.lower()
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text if "<|" in text else text.lower()
+        simple, other, order = [], [], []
+        for t in texts:
+            try:
+                data = None if "<|" in t else t.encode("latin-1")
+            except UnicodeEncodeError:
+                data = None
+            order.append(len(simple) if data is not None else -1 - len(other))
+            if data is None:
+                other.append(t)
+            else:
+                simple.append(data)
+        ends = np.cumsum(np.fromiter(map(len, simple), np.int64, len(simple)))
+        data = np.frombuffer(b"".join(simple).translate(LATIN_LOWER), np.uint8)
+        cut = np.setdiff1d(np.flatnonzero(LATIN_WORD[data[:-1]] & LATIN_MARK[data[1:]]) + 1, ends)
+        spaced = np.insert(data, cut, 32)
+        ends += np.searchsorted(cut, ends)
+        wide = np.concatenate([[0], np.cumsum(1 + (spaced > 127), dtype=np.int64)])  # bytes before each character in UTF-8
+        offsets = wide[np.concatenate([[0], ends])]
+        utf8 = spaced.tobytes().decode("latin-1").encode()
+        first = pa.LargeStringArray.from_buffers(len(simple), pa.py_buffer(offsets), pa.py_buffer(utf8))
+        if not other:
+            return first
+        at = np.array(order, np.int64)
+        return pa.concat_arrays([first, pa.array(other, pa.large_string())]).take(pa.array(np.where(at < 0, len(simple) - 1 - at, at)))
 
     def _learn(self, pieces: list[str]) -> None:
-        """Words, and words that one full stop or comma closes (the tokenizer divides there), are looked up as words."""
+        """Words, and words with ASCII marks behind them (the tokenizer divides there), are looked up as words."""
         words, other, closed = [], [], []
         for p in pieces:
             if p.isalpha():
                 words.append(p)
-            elif p[-1:] in (".", ",") and p[:-1].isalpha():
-                closed.append(p)
+            elif (core := p.rstrip(MARKS)).isalpha():
+                closed.append((p, core, p[len(core) :]))
             else:
                 other.append(p)
         known = self.known
-        cores = {p[:-1] for p in closed}.difference(known)
+        cores = {core for _, core, _ in closed}.difference(known)
         again = cores.intersection(self.older)
         known.update([(w, self.older[w]) for w in again])
         self._words(list({*words, *cores.difference(again)}))
-        self._each([mark for mark in (".", ",") if mark not in known])
-        self._each(other)
-        known.update([(p, known[p[:-1]] + known[p[-1]]) for p in closed])
+        self._each(list({mark for _, _, mark in closed}.difference(known)))
+        self._each([p for p in other if p not in known])
+        known.update([(p, known[core] + known[mark]) for p, core, mark in closed])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id behind it; and their numbers per text.
 
         Every different piece of the texts is looked up once; Arrow splits the texts and numbers their pieces.
         """
-        split = pc.ascii_split_whitespace(pa.array(map(self.plain, texts), pa.large_string()))
+        split = pc.ascii_split_whitespace(self.plain(texts))
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_PIECES:

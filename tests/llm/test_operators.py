@@ -30,6 +30,24 @@ def sets(rows, k):
     return out
 
 
+def test_words_before_marks_are_encoded_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, enc, alone = Tokenizer.from_file(path), token_output.Encoder(path), []
+    cores = ["straße", "naïve", "ªb", "µm", "ΟΔΟΣ", "слово", "数字", "각", "é", "İx", "don't", "e\u0301", "a1", "ǅ", "w" * 300]
+    pieces = [c + m for c in cores for m in ("", "!!", ",***", ".&&&", "'", "'s", "<|", "\u0301", "…", "|>.")] + ["$$$", "..", "ÀB!!", "<|endoftext|>", "x<|endoftext|>!!"]
+    each = enc._each
+    enc._each = lambda pieces: (alone.extend(pieces), each(pieces))[1]
+    for _ in range(2):  # the second time from the cache
+        for texts in (pieces, [" ".join(pieces)]):
+            ids, sizes = enc.encode(texts)
+            want = [[*x.ids, token_output.END_ID] for x in whole.encode_batch(texts, add_special_tokens=False)]
+            assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    assert "straße!!" not in alone and "слово,***" not in alone and "!!" in alone and len(alone) == len(set(alone))
+
+
 def test_open_round_of_a_large_group(spark):
     wide = bytes(ngram_join.WIDE)
     sets_ = spark.createDataFrame([(i, wide) for i in range(40)], "node long, wide binary")
