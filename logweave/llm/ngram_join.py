@@ -34,8 +34,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, free_name, saved, ship_package, skewed_join, table
@@ -401,25 +403,53 @@ def open_candidates(lists: DataFrame, sets: DataFrame, percent: int, block: int,
     return found.distinct()
 
 
+def bit_filter(wanted: DataFrame, value: Column) -> tuple[int, Broadcast]:
+    """A bit at ``value`` modulo their number for every row of ``wanted``: the number of bits, and their 64-bit words.
+
+    16 bits per row, up to 2**31 bits (256 MB); beyond that it lets more values through.  ``wanted`` is read twice, so it should be a table.
+    """
+    spark = wanted.sparkSession
+    bits = 1 << min(31, max(16, (16 * wanted.count()).bit_length()))
+    at = F.pmod(value, F.lit(bits))
+    words64 = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("b"))
+    filter_ = np.zeros(bits // 64, np.int64)
+    # as many rows as the filter has words, fetched a partition at a time
+    for r in words64.toLocalIterator():
+        filter_[r["w"]] = r["b"]
+    return bits, spark.sparkContext.broadcast(filter_)
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` but the rows whose doc_id is in ``lost(doc_id)``, a table of distinct ids.
+
+    Texts of the rows that stay are not shuffled: a bit filter finds nearly all of them where they are, and only rows that it
+    lets through (those of ``lost`` and about one in 16 others) meet the ids themselves.
+    """
+    gone, maybe = free_name(docs, "gone"), free_name(docs, "maybe")
+    place = F.xxhash64(F.col("doc_id").cast("long"))
+    bits, shared = bit_filter(lost, place)
+
+    def let_through(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+
+    marked = docs.withColumn(maybe, F.pandas_udf(let_through, "boolean")(F.pmod(place, F.lit(bits))))
+    ids = lost.select(F.col("doc_id").alias(gone))
+    doubtful = marked.filter(maybe).join(ids, F.col("doc_id") == F.col(gone), "left_anti")
+    return marked.filter(~F.col(maybe)).unionByName(doubtful).drop(maybe)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """Pairs (a, b) of nodes whose whole shingle sets are linked.  ``sets``: node, digest and the least doc_id that has the set.
 
     The scan computes sets only of documents whose id a bit filter lets through (it may let others through, never
-    holds one back), so texts are not shuffled; only the sets of candidates are.  The filter has 16 bits per candidate, up
-    to 2**31 bits (256 MB); beyond that it lets more sets through, which the join drops.
+    holds one back), so texts are not shuffled; only the sets of candidates are.  The join drops those of others.
     """
     spark = docs.sparkSession
     pairs = saved(pairs, f"{name}-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = saved(nodes.join(sets.select("node", "digest", "low"), "node"), f"{name}-wanted")
-    bits = 1 << min(31, max(16, (16 * wanted.count()).bit_length()))
-    at = F.pmod(F.col("low"), F.lit(bits))
-    words64 = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("b"))
-    filter_ = np.zeros(bits // 64, np.int64)
-    # as many rows as the filter has words, fetched a partition at a time
-    for r in words64.toLocalIterator():
-        filter_[r["w"]] = r["b"]
-    shared = spark.sparkContext.broadcast(filter_)
+    bits, shared = bit_filter(wanted, F.col("low"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -500,10 +530,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, list_co
     Rows that repeat a doc_id share its fate: all stay if one of them does, so a row is never lost to a namesake.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    gone = free_name(docs, "gone")
     groups = saved(_grouped(docs, words, percent, list_cost, block).filter("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("copy")), "join-verdicts")
-    lost = groups.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).filter("copy").select(F.col("doc_id").alias(gone))
-    return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti").select(*columns)
+    lost = saved(groups.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).filter("copy").select("doc_id"), "join-lost")
+    return without(docs, lost).select(*columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

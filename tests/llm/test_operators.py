@@ -48,6 +48,34 @@ def test_words_before_marks_are_encoded_once():
     assert "straße!!" not in alone and "слово,***" not in alone and "!!" in alone and len(alone) == len(set(alone))
 
 
+def shuffled_texts(df):
+    """Rows that the exchanges whose rows hold a text have written while ``df`` was run without AQE."""
+
+    def walk(node):
+        own = node.metrics().apply("shuffleRecordsWritten").value() if "Exchange" in node.nodeName() and "text#" in node.output().mkString(",") and node.metrics().contains("shuffleRecordsWritten") else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_dropping_copies_leaves_texts_where_they_are(spark):
+    rows = [(i, " ".join(words(30, i // 2 if i < 40 else i))) for i in range(2000)] + [(None, "no id"), (None, None), (41, "same id, other text"), (1, "not a copy, but a copy's id")]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, maybe int")
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        kept = ngram_join.drop_near_copies(df)
+        got = kept.collect()
+        moved = shuffled_texts(kept)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    gone = {i for i in range(3, 40, 2)}  # id 1 stays: one of its rows is no copy
+    assert kept.columns == df.columns
+    assert sorted(map(str, got)) == sorted(str(r) for r in df.collect() if r.doc_id not in gone)
+    assert moved < 400
+
+
 def test_open_round_of_a_large_group(spark):
     wide = bytes(ngram_join.WIDE)
     sets_ = spark.createDataFrame([(i, wide) for i in range(40)], "node long, wide binary")
