@@ -46,6 +46,8 @@ from .textops import chunks, lazily, mixed, shingle_sets, trimmed
 #: with few, frequent shingles that share a counter hide the rare ones, and lists fill up with chance meetings
 COUNTERS = 1 << 24
 CHUNKS = 256
+#: tasks that hand counters and filters of fixed size to the driver, one after the other
+HANDING = 16
 #: a task's counters stop here, and are cut to it each time so many sets have been added that they could pass 16 bits
 MOST = 1 << 15
 #: buckets of the two count sketches of a set: 16-bit counts for a first look, 8-bit counts for a closer one
@@ -144,7 +146,7 @@ def corpus_counts(rows: DataFrame) -> np.ndarray:
     whole = some.groupBy("part").applyInArrow(_sum_counts, "part int, counts binary")
     out = np.zeros(COUNTERS, np.uint8)
     step = COUNTERS // CHUNKS
-    for r in whole.toLocalIterator():
+    for r in whole.coalesce(HANDING).toLocalIterator():
         out[r["part"] * step : (r["part"] + 1) * step] = np.minimum(8 * np.log2(1.0 + _unpacked(r["counts"])), 255)
     return out
 
@@ -364,7 +366,9 @@ def reaching(lists: DataFrame, percent: int) -> DataFrame:
     shares at most n - pos: the pair is found in that token's list, and entries further back are not needed for it.
     Lists of fewer than four have no pairs but the linear ones.
     """
-    spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).filter("lo <> hi and many >= 4")
+    spread = saved(lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).filter("lo <> hi and many >= 4"), "join-spread")
+    if not spread.take(1):
+        return lists.select("token", "node", "root", "n", "pos").filter("false")
     other = f"greatest(least, (n * {percent} + 99) div 100)"
     room = f"pos <= n - ({percent} * (n + {other}) + {99 + percent}) div {100 + percent}"
     return skewed_join(lists, spread.select("token", "least"), ["token"]).filter(room).select("token", "node", "root", "n", "pos")
@@ -378,7 +382,9 @@ def open_candidates(lists: DataFrame, sets: DataFrame, percent: int, block: int,
     and what is apart afterwards needs all its pairs.
     """
     spread = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    sized = spread.select("token", F.ceil(F.col("many") / block).cast("int").alias("blocks"))
+    sized = saved(spread.select("token", F.ceil(F.col("many") / block).cast("int").alias("blocks")), "join-sized")
+    if not sized.take(1):
+        return lists.select(F.col("node").alias("a"), F.col("node").alias("b")).filter("false")
     wide = skewed_join(lists, sized, ["token"]).join(sets.select("node", F.col("wide").alias("sketch")), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = wide.withColumn("own", own).withColumn("o", F.col("own") if forest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -413,8 +419,8 @@ def bit_filter(wanted: DataFrame, value: Column) -> tuple[int, Broadcast]:
     at = F.pmod(value, F.lit(bits))
     words64 = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("b"))
     filter_ = np.zeros(bits // 64, np.int64)
-    # as many rows as the filter has words, fetched a partition at a time
-    for r in words64.toLocalIterator():
+    # as many rows as the filter has words, fetched a partition at a time: few, as each is a job of its own
+    for r in words64.coalesce(HANDING).toLocalIterator():
         filter_[r["w"]] = r["b"]
     return bits, spark.sparkContext.broadcast(filter_)
 
@@ -447,6 +453,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
     """
     spark = docs.sparkSession
     pairs = saved(pairs, f"{name}-pairs")
+    if not pairs.take(1):
+        return pairs
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = saved(nodes.join(sets.select("node", "digest", "low"), "node"), f"{name}-wanted")
     bits, shared = bit_filter(wanted, F.col("low"))
@@ -479,6 +487,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
     return saved(joined.select("a", "b", "x", "y").mapInArrow(lambda b: trimmed(check(b)), "a long, b long"), f"{name}-links")
 
 
+def merged(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``roots`` (what ``components`` returns) after ``links(a, b)`` more; their stars stand for all links before."""
+    if not links.take(1):
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), name)
+
+
 def near_copies(docs: DataFrame, words: int = 3, percent: int = 90, list_cost: float = 8.0, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (least doc_id of its group)."""
     out = _grouped(docs, words, percent, list_cost, block)
@@ -508,11 +523,10 @@ def _grouped(docs: DataFrame, words: int, percent: int, list_cost: float, block:
     rooted = lists.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = saved(reaching(saved(rooted, "join-lists"), percent), "join-reaching")
     tied = verified(open_candidates(apart, sets, percent, block, forest=True), docs, sets, words, percent, "join-forest")
-    linked = light.unionByName(first).unionByName(tied)
-    roots = components(linked, "join-second")
+    roots = merged(roots, tied, "join-second")
     apart = saved(apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-apart")
     second = verified(open_candidates(apart, sets, percent, block), docs, sets, words, percent, "join-open")
-    groups = components(linked.unionByName(second), "join-all")
+    groups = merged(roots, second, "join-all")
     member = saved(groups.join(sets.select("node", "digest", "low"), "node"), "join-member")
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
     grouped = skewed_join(member, least, ["root"]).select("digest", "component_id")

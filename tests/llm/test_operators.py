@@ -88,6 +88,38 @@ def test_open_round_of_a_large_group(spark):
     assert ngram_join.reaching(lists, 80).select("token").distinct().first()[0] == 7
 
 
+def test_components_of_stars_need_no_round(spark):
+    import glob
+
+    star = spark.createDataFrame([(1, i) for i in range(2, 50)] + [(100, 101)], "a long, b long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(40, 31), (41, 40), (41, 31)], "a long, b long")
+    roots = ngram_join.components(star, "stars")
+    want = {(i, 1) for i in range(1, 50)} | {(100, 100), (101, 100)}
+    assert {tuple(r) for r in roots.collect()} == want and roots.count() == len(want)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://").rstrip("/")
+    assert len(glob.glob(f"{folder}/scratch/*/stars-cc-*")) == 1
+    assert sorted(map(tuple, ngram_join.components(chain, "chain").collect())) == [(i, 1) for i in range(1, 31)] + [(31, 31), (40, 31), (41, 31)]
+    links = spark.createDataFrame([(49, 101)], "a long, b long")
+    assert ngram_join.merged(roots, links.filter("false"), "more") is roots
+    assert {tuple(r) for r in ngram_join.merged(roots, links, "more").collect()} == {(i, 1) for i, _ in want}
+
+
+def test_filters_reach_the_driver_in_few_jobs(spark):
+    for key, value in (("spark.sql.shuffle.partitions", "80"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        numbers = spark.range(3000)
+        spark.sparkContext.setJobGroup("few-jobs", "")
+        bits, shared = ngram_join.bit_filter(numbers, numbers["id"])
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(shared.value[i % bits // 64] >> (i % bits % 64) & 1 for i in range(3000))
+    assert jobs < 40
+
+
 def test_encoder_looks_up_each_piece_of_a_batch_once():
     import public_tokenizers
     from tokenizers import Tokenizer
