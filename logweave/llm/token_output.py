@@ -35,13 +35,13 @@ END_ID = 1
 #: pieces whose ids a worker keeps, twice: those of the current and of the last generation
 CACHE_PIECES = 250_000
 #: bytes of the texts that are encoded at once; the more, the more of their pieces are repeats
-PART_BYTES = 3_000_000
+PART_BYTES = 4_000_000
 #: ASCII marks, none of which the tokenizer joins with a letter before it
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _latin = [chr(b) for b in range(256)]
 LATIN_LOWER = "".join(map(str.lower, _latin)).encode("latin-1")
-LATIN_WORD = np.array([c.isalpha() or unicodedata.category(c)[0] == "N" for c in _latin])
-LATIN_MARK = np.array([c in MARKS for c in _latin])
+#: 1: letters and digits, 2: marks
+LATIN_KIND = bytes(2 if c in MARKS else c.isalpha() or unicodedata.category(c)[0] == "N" for c in _latin)
 _encoders: dict = {}
 
 
@@ -64,7 +64,7 @@ class Encoder:
         config = json.loads(self.tokenizer.to_str())
         if [_kinds(config["normalizer"]), _kinds(config["pre_tokenizer"])] == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
             # words that the normalizer leaves alone and the pattern doesn't divide need neither: the same model without regular expressions
-            self.quick = Tokenizer.from_file(path)
+            self.quick = Tokenizer(self.tokenizer.model)
             self.quick.normalizer = Normalizers([])
             self.quick.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -82,15 +82,16 @@ class Encoder:
 
     def _words(self, words: list[str]) -> None:
         """Words of letters only, 500 to a text, cut again at the ids that end a word."""
-        simple = [w for w in words if self._simple(w)]
+        simple, other = [], []
+        for w in words:
+            (simple if w.isascii() and w.islower() or self._simple(w) else other).append(w)
         self._joined(self.quick, simple)
-        if len(simple) < len(words):
-            self._joined(self.tokenizer, [w for w in words if not self._simple(w)])
+        self._joined(self.tokenizer, other)
 
     @staticmethod
     def _simple(word: str) -> bool:
         """Latin-1 in lower case: normal already."""
-        return word.isascii() and word.islower() or max(word) < "\u0100" and word == word.lower()
+        return max(word) < "\u0100" and word == word.lower()
 
     def _joined(self, tokenizer, words: list[str]) -> None:
         parts = [words[a : a + 500] for a in range(0, len(words), 500)]
@@ -125,13 +126,18 @@ class Encoder:
             else:
                 simple.append(data)
         ends = np.cumsum(np.fromiter(map(len, simple), np.int64, len(simple)))
-        data = np.frombuffer(b"".join(simple).translate(LATIN_LOWER), np.uint8)
-        cut = np.setdiff1d(np.flatnonzero(LATIN_WORD[data[:-1]] & LATIN_MARK[data[1:]]) + 1, ends)
-        spaced = np.insert(data, cut, 32)
+        lower = b"".join(simple).translate(LATIN_LOWER)
+        kind = np.frombuffer(lower.translate(LATIN_KIND), np.uint8)
+        divides = (kind[:-1] == 1) & (kind[1:] == 2)
+        divides[ends[(ends > 0) & (ends < len(lower))] - 1] = False  # the next text begins there
+        cut = np.flatnonzero(divides) + 1
+        spaced = np.insert(np.frombuffer(lower, np.uint8), cut, 32)
         ends += np.searchsorted(cut, ends)
-        wide = np.concatenate([[0], np.cumsum(1 + (spaced > 127), dtype=np.int64)])  # bytes before each character in UTF-8
-        offsets = wide[np.concatenate([[0], ends])]
-        utf8 = spaced.tobytes().decode("latin-1").encode()
+        wide = np.flatnonzero(spaced > 127)  # characters of two bytes in UTF-8
+        offsets = np.concatenate([[0], ends + np.searchsorted(wide, ends)])
+        utf8 = spaced.tobytes()
+        if len(wide):
+            utf8 = utf8.decode("latin-1").encode()
         first = pa.LargeStringArray.from_buffers(len(simple), pa.py_buffer(offsets), pa.py_buffer(utf8))
         if not other:
             return first
@@ -152,7 +158,7 @@ class Encoder:
         cores = {core for _, core, _ in closed}.difference(known)
         again = cores.intersection(self.older)
         known.update([(w, self.older[w]) for w in again])
-        self._words(list({*words, *cores.difference(again)}))
+        self._words(words + list(cores.difference(again, words)))
         self._each(list({mark for _, _, mark in closed}.difference(known)))
         self._each([p for p in other if p not in known])
         known.update([(p, known[core] + known[mark]) for p, core, mark in closed])
@@ -170,9 +176,9 @@ class Encoder:
         known, older = self.known, self.older
         got = list(map(known.get, pieces))
         new = [p for p, x in zip(pieces, got, strict=True) if x is None]
-        again = [p for p in new if p in older]
-        known.update([(p, older[p]) for p in again])
-        self._learn([p for p in new if p not in older])
+        before = list(map(older.get, new)) if older else [None] * len(new)
+        known.update([(p, x) for p, x in zip(new, before, strict=True) if x is not None])
+        self._learn([p for p, x in zip(new, before, strict=True) if x is None])
         got = [known[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
         got.append(self.end)
         pool = np.frombuffer(b"".join(got), "<i4")

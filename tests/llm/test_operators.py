@@ -212,6 +212,18 @@ def test_fingerprints(spark):
     assert fingerprints.from_string(fingerprints.to_string(a)).tolist() == a.tolist()
 
 
+def test_normal_words_are_told_apart_without_a_call_for_each(monkeypatch):
+    import public_tokenizers
+
+    asked = []
+    monkeypatch.setattr(token_output.Encoder, "_simple", staticmethod(lambda word: asked.append(word) or False))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_output.Encoder(path)
+    ids, _ = encoder.encode(["many plain words, école"])
+    assert asked == ["école"]
+    assert ids.tolist() == encoder.tokenizer.encode("many plain words, école", add_special_tokens=False).ids + [1]
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
