@@ -224,6 +224,14 @@ def test_normal_words_are_told_apart_without_a_call_for_each(monkeypatch):
     assert ids.tolist() == encoder.tokenizer.encode("many plain words, école", add_special_tokens=False).ids + [1]
 
 
+def test_both_tokenizers_of_an_encoder_hold_one_model():
+    import public_tokenizers
+
+    encoder = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.tokenizer.model.dropout = 0.5
+    assert encoder.quick is not encoder.tokenizer and encoder.quick.model.dropout == 0.5
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
